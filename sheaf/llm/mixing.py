@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import WORD, q, settle, without
 
-BUCKETS = 4096  # parts of the documents of one source and size
+BUCKETS = 512  # parts of the documents of one source and size
 ADDED = ("size", "source_size", "target", "copies")
 
 

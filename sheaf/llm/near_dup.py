@@ -131,19 +131,23 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, KEY)
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Those tree rows whose region may hold another class: all others have no candidate."""
+def _crowded(classes: DataFrame) -> DataFrame:
+    """Ids of the classes that share a region of some tree with another one: no other class has a candidate. Only
+    hashes of regions are sorted for this."""
+    cut = lambda p: F.substring("signature", 4 * p + 1, 4)
+    regions = F.array(*(F.xxhash64(F.lit(t), *(cut(p) for p in order[:LEAST])) for t, order in enumerate(_ORDERS)))
+    rows = classes.select("id", F.explode(regions).alias("region"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                keys = _bytes(batch["key"])[:, :HEAD]
-                same = np.all(keys[1:] == keys[:-1], axis=1)
+                region = batch["region"].to_numpy()
+                same = region[1:] == region[:-1]
                 keep = np.concatenate([[True], same]) | np.concatenate([same, [True]])  # the batch's ends too
-                yield batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch["id"].to_numpy()[keep]))], names=["id"])
 
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    return settle(ordered.select("id", "key").mapInArrow(run, "id long, key binary"))
+    ordered = rows.repartitionByRange("region", "id").sortWithinPartitions("region", "id")
+    return ordered.mapInArrow(run, "id long").distinct()
 
 
 def _meet(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> np.ndarray:
@@ -303,8 +307,9 @@ def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", si
     # an id may stand for several classes, so classes have their own number
     classes = docs.where(member).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
     classes = settle(classes.withColumn("id", F.xxhash64("digest")))
-    crowded = _crowded(_tree_rows(classes))
-    busy = classes.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "least", "digest")
+    busy = settle(classes.join(_crowded(classes), "id", "left_semi"))
+    crowded = settle(_tree_rows(busy))
+    busy = busy.select("id", "least", "digest")
     # sets are made again from the texts of the few classes that have candidates
     again = texts.join(busy.withColumnRenamed("digest", "__digest"), texts["doc_id"] == busy["least"]).select("id", "__digest", "__text")
     sets = add_sets(again, "__text", size).where(F.col("digest") == F.col("__digest")).dropDuplicates(["id"]).select("id", "shingles")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm.common import map_column
@@ -139,7 +140,7 @@ class Codec:
 
     def _general(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         mark = SPACE if self.escape else b" "
-        parts: list[tuple[bytes, int, int]] = []
+        parts: list[tuple[bytes, int, int]] = []  # what a source span becomes
         i = 0
         while i < len(data):
             symbol = next((s for s in self.symbols if data.startswith(s, i)), None)
@@ -164,8 +165,9 @@ class Codec:
 
         def put(piece: bytes, a: int, b: int) -> None:
             out.extend(piece)
-            starts.extend([a] * len(piece))
-            ends.extend([b] * len(piece))
+            own = piece == data[a:b]  # copied: byte by byte
+            starts.extend(range(a, b) if own else [a] * len(piece))
+            ends.extend(range(a + 1, b + 1) if own else [b] * len(piece))
 
         if parts and self.prefix and not self.suffix:
             put(mark, parts[0][1], parts[0][1])
@@ -239,16 +241,7 @@ def decode_ids(df: DataFrame, model_path: str, col: str = "ids", out: str = "dec
 
     def make():
         one = codec(model_path)
-        return lambda rows: ([one.sp.decode(list(r)) if r else "" for r in rows],)
+        return lambda rows: ([one.sp.decode(list(map(int, r.split(",")))) if r else "" for r in rows],)
 
-    from pyspark.sql import functions as F
-
-    # chunks are cut by the length of a binary column: lists are handed over as text
-    text = df.withColumn("__ids", F.to_json(F.col(col)))
-    import json
-
-    def make_text():
-        f = make()
-        return lambda rows: f([json.loads(r) if r else [] for r in rows])
-
-    return map_column(text, "__ids", fields, make_text).drop("__ids")
+    listed = df.withColumn("__ids", F.concat_ws(",", F.col(col).cast("array<string>")))
+    return map_column(listed, "__ids", fields, make).drop("__ids")

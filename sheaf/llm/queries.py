@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import html_text, media, mixing, near_dup, pieces, toxicity
+from sheaf.llm import ann, html_text, licenses, lm_score, media, mixing, near_dup, pieces, pii, toxicity
 from sheaf.llm.common import table
 
 
@@ -17,11 +17,27 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.shown("base_spans"), 256).alias("base_sha256"), pii.shown("spans").alias("spans"))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lm_score.train(lm_score.with_target(docs, table(spark, sf_dir, "labels")))
+    return lm_score.score(docs, models).drop("text")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sized = docs.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("declared", F.lit("application/octet-stream"))
@@ -64,12 +80,17 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "digest", "license", F.concat_ws(",", "notices").alias("notices"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_html_text, op5_media, op6_toxicity, op7_mixing, op8_pieces, op10_minhash_dedup]
+    found = [op1_pii, op2_ann, op3_html_text, op4_lm_score, op5_media, op6_toxicity, op7_mixing, op8_pieces, op9_licenses, op10_minhash_dedup]
     return {f.__name__: f for f in found}
 
 
