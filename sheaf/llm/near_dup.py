@@ -3,13 +3,14 @@
 Documents of equal shingle sets form a class; classes are what is compared. Each tree of the forest is the order of
 all classes by a permutation of their signatures. Candidates are neighbours in an order that share at least the
 shallowest prefix, those of most agreeing hashes first, so the depth adapts to how crowded a region is. Candidates are
-confirmed on full shingle sets. Confirmed links give components; then the orders are read again and classes meet
-their next best neighbours of other components, until rounds confirm no link.
+confirmed on full shingle sets, in rounds: each class meets its best neighbour of every order, then the next best ones
+of other components, until rounds confirm no link. At last classes meet the most linked members of components near
+them: in a group of many copies, a class may be similar enough to the one that all were made from, and to no other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import map_column, q, settle, without
+from sheaf.llm.common import bucketed, map_column, q, settle, without
 
 HASHES = 64  # of a signature
 TREES = 24
 LEAST = 3  # hashes, whole, that candidates share at least; of the others a tree's key holds a byte each
 WIDTH = 48  # neighbours on either side that are looked at in each tree
-BEST = 16  # of these for each class and round, by agreeing hashes, that are confirmed on full sets
-PATIENCE = 2  # rounds without a new link before the search ends
+LISTED = 24  # of these that are listed for each class and tree, by agreeing hashes; a round takes one of each list
+PATIENCE = 3  # rounds without a new link before the search ends
 LEAST_EQUAL = 37  # of HASHES; at a similarity of 0.8 fewer are equal once in 500,000 pairs
+HUBS = 8  # most linked members of a component that classes near it meet at last
+FILTER_BITS = 1 << 24  # of the filter for texts that are read again: a fixed size, whatever the input
 
 _rng = np.random.default_rng(20_240_607)
 _WORD_FACTORS = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,61 +153,54 @@ def _crowded(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "id long").distinct()
 
 
-def _meet(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> np.ndarray:
-    """Candidates (a, b, agreeing hashes) among sorted rows: of the WIDTH rows of the same region beyond a row's run of
-    its own component, on either side, the BEST of other components."""
+def _meet(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among sorted rows: (row, other id, place), the LISTED of most agreeing hashes of the rows of the same
+    region within WIDTH."""
     n = len(ids)
-    none = np.zeros((0, 3), dtype=np.int64)
-    if n < 2:
-        return none
-    same = np.all(keys[1:, :HEAD] == keys[:-1, :HEAD], axis=1)
-    region = np.concatenate([[0], np.cumsum(~same)])
-    run = np.concatenate([[0], np.cumsum((comps[1:] != comps[:-1]) | ~same)])
-    last = np.concatenate([np.flatnonzero(np.diff(run)), [n - 1]])[run]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])[run]
-    found = []
-    for edge, sign in ((last, 1), (first, -1)):
-        rows = np.arange(n)
-        for step in range(1, WIDTH + 1):
-            other = edge[rows] + sign * step
-            ok = (other >= 0) & (other < n)
-            rows, other = rows[ok], other[ok]
-            ok = region[rows] == region[other]
-            rows, other = rows[ok], other[ok]
-            if not len(rows):
-                break
-            ok = comps[rows] != comps[other]
-            a, b = rows[ok], other[ok]
-            agree = LEAST + (keys[a, HEAD:] == keys[b, HEAD:]).sum(axis=1)
-            ok = agree >= LEAST_EQUAL
-            found.append(np.stack([a[ok], b[ok], agree[ok]], axis=1))
-    if not found:
-        return none
+    region = np.concatenate([[0], np.cumsum(~np.all(keys[1:, :HEAD] == keys[:-1, :HEAD], axis=1))]) if n else np.zeros(0, np.int64)
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    rows = np.arange(n)
+    for step in range(1, WIDTH + 1):
+        rows = rows[rows + step < n]
+        rows = rows[region[rows] == region[rows + step]]
+        if not len(rows):
+            break
+        agree = LEAST + (keys[rows, HEAD:] == keys[rows + step, HEAD:]).sum(axis=1)
+        ok = agree >= LEAST_EQUAL
+        a, b, agree = rows[ok], rows[ok] + step, agree[ok]
+        found += [np.stack([a, b, agree], axis=1), np.stack([b, a, agree], axis=1)]
     all_ = np.concatenate(found)
-    all_ = all_[np.lexsort((-all_[:, 2], all_[:, 0]))]
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(all_[:, 0])) + 1]) if len(all_) else np.zeros(0, np.int64)
-    place = np.arange(len(all_)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(all_)]])))
-    all_ = all_[place < BEST]
-    a, b = ids[all_[:, 0]], ids[all_[:, 1]]
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), all_[:, 2]], axis=1), axis=0)
+    all_ = all_[np.lexsort((ids[all_[:, 1]], -all_[:, 2], all_[:, 0]))]
+    starts = np.flatnonzero(np.diff(all_[:, 0], prepend=-1))
+    place = np.arange(len(all_)) - np.repeat(starts, np.diff(np.append(starts, len(all_))))
+    keep = place < LISTED
+    return all_[keep, 0], ids[all_[keep, 1]], place[keep]
+
+
+def _lists(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(ids, lists of other ids) of the rows that have candidates."""
+    row, other, place = _meet(keys, ids)
+    starts = np.flatnonzero(place == 0)
+    offsets = np.append(starts, len(row)).astype(np.int32)
+    return pa.array(ids[row[starts]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(other))
 
 
 EDGE = 2 * WIDTH  # rows at either end of a range that are compared across its border
-FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int64()), ("part", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("comp", pa.int64()), ("key", pa.binary())])
+FOUND = pa.schema([("a", pa.int64()), ("near", pa.list_(pa.int64())), ("part", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("key", pa.binary())])
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b, of tree rows with components."""
+    """(a, near): lists of candidates of tree rows, best first."""
     ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").withColumn("part", F.spark_partition_id())
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        got = _meet(_bytes(t["key"]), t["id"].to_numpy(), t["comp"].to_numpy())
-        new = [pa.array(got[:, k].copy()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*new, *(pa.nulls(len(got), f.type) for f in list(FOUND)[3:])], schema=FOUND)
+    def lists(t: pa.Table) -> pa.RecordBatch:
+        a, near = _lists(_bytes(t["key"]), t["id"].to_numpy())
+        return pa.RecordBatch.from_arrays([a, near, *(pa.nulls(len(a), f.type) for f in list(FOUND)[2:])], schema=FOUND)
 
     def edge(t: pa.Table, part: int, place: int) -> pa.RecordBatch:
-        none, fixed = pa.nulls(len(t), pa.int64()), lambda v: pa.array([v] * len(t), pa.int32())
-        return pa.RecordBatch.from_arrays([none, none, none, fixed(part), fixed(place), *(t[c].combine_chunks() for c in ("id", "comp")), pa.array(t["key"].to_pylist(), pa.binary())], schema=FOUND)
+        fixed = lambda v: pa.array([v] * len(t), pa.int32())
+        none = [pa.nulls(len(t), f.type) for f in list(FOUND)[:2]]
+        return pa.RecordBatch.from_arrays([*none, fixed(part), fixed(place), t["id"].combine_chunks(), pa.array(t["key"].to_pylist(), pa.binary())], schema=FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head, part = None, None, 0
@@ -216,38 +212,50 @@ def _candidates(rows: DataFrame) -> DataFrame:
             if head is None or len(head) < EDGE:
                 head = t.slice(0, EDGE) if head is None else pa.concat_tables([head, t]).slice(0, EDGE)
             t = t if held is None else pa.concat_tables([held, t])
-            yield pairs(t)
+            yield lists(t)
             held = t.slice(max(0, len(t) - EDGE)).combine_chunks()  # so that batches overlap
         if held is not None:
             yield edge(head, part, 0)
             yield edge(held, part, 1)
 
-    fields = "a long, b long, agree long, part int, place int, id long, comp long, key binary"
+    fields = "a long, near array<long>, part int, place int, id long, key binary"
     found = settle(ordered.mapInArrow(run, fields))
-    pairs_ = found.where(F.col("a").isNotNull()).select("a", "b", "agree")
+    inner = found.where(F.col("a").isNotNull()).select("a", "near")
     ends = found.where(F.col("part").isNotNull())
     parts = sorted(r["part"] for r in ends.select("part").distinct().collect())  # a number for each range
     if len(parts) < 2:
-        return pairs_.distinct()
+        return inner
     number = F.create_map(*(F.lit(x) for k, p in enumerate(parts) for x in (p, k)))
-    across = ends.select((number[F.col("part")] + F.col("place")).alias("border"), "id", "comp", "key")
+    across = ends.select((number[F.col("part")] + F.col("place")).alias("border"), "id", "key")
 
     def meet(rows: pa.Table) -> pa.Table:
         keys = np.array(rows["key"].to_pylist(), dtype=object)
         order = np.lexsort((rows["id"].to_numpy(), np.unique(keys, return_inverse=True)[1]))
         rows = rows.take(pa.array(order))
-        got = _meet(_bytes(rows["key"]), rows["id"].to_numpy(), rows["comp"].to_numpy())
-        return pa.table({c: got[:, k].copy() for k, c in enumerate(("a", "b", "agree"))})
+        a, near = _lists(_bytes(rows["key"]), rows["id"].to_numpy())
+        return pa.table({"a": a, "near": near})
 
     # at most 2 * EDGE rows for each border
-    return pairs_.union(across.groupBy("border").applyInArrow(meet, "a long, b long, agree long")).distinct()
+    return settle(inner.union(across.groupBy("border").applyInArrow(meet, "a long, near array<long>")))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Pairs that are among the BEST of one of their classes."""
-    top = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("agree"), "a", "b"))
-    either = [pairs.withColumn("__top", top(k)).where(F.col("__top") <= BEST).select("a", "b") for k in "ab"]
-    return either[0].union(either[1]).distinct()
+def _may_hold(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for all ids of a column "least", and for few others while they are few: a hash filter of
+    fixed size, gathered as at most FILTER_BITS / 64 words."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = ids.select(place(F.col("least")).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words:
+        bits[r["w"]] = r["bits"]
+    held = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(p):  # noqa: ANN001, ANN202
+        at = p.to_numpy()
+        return type(p)((held.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return lambda c: hit(place(c))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -265,7 +273,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose full sets are similar enough."""
     side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}"))
     size = lambda k: F.octet_length(f"s{k}") / 8
-    both = pairs.join(side("a"), "a").where(size("a") > 0).join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where((100 * size("a") >= percent * size("b")) & (100 * size("b") >= percent * size("a")))
     sure = both.withColumn("both", _overlap(F.col("sa"), F.col("sb")))
     return settle(sure.where(100 * F.col("both") >= percent * (size("a") + size("b") - F.col("both"))).select("a", "b"))
@@ -293,6 +301,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
+def _components_of(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of all classes: those without a link are their own component."""
+    found = components(links).withColumnRenamed("comp", "__comp")
+    return settle(classes.select("id").join(found, "id", "left").select("id", F.coalesce("__comp", "id").alias("comp")))
+
+
+def _hub_pairs(lists: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of a class and a hub of another component, one that holds the class's best neighbour in some tree."""
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    most = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("n"), "id"))
+    hubs = degree.join(comps, "id").withColumn("k", most).where(F.col("k") <= HUBS).select("comp", F.col("id").alias("hub"))
+    best = lists.select("a", F.get("near", F.lit(0)).alias("id")).distinct()
+    near = best.join(comps, "id").select("a", "comp").distinct().join(comps.select(F.col("id").alias("a"), F.col("comp").alias("own")), "a").where("comp <> own")
+    pairs = near.join(hubs, "comp").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
+    return pairs.distinct()
+
+
 def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of df.
 
@@ -311,26 +336,37 @@ def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", si
     crowded = settle(_tree_rows(busy))
     busy = busy.select("id", "least", "digest")
     # sets are made again from the texts of the few classes that have candidates
-    again = texts.join(busy.withColumnRenamed("digest", "__digest"), texts["doc_id"] == busy["least"]).select("id", "__digest", "__text")
+    again = texts.where(_may_hold(busy)(F.col("doc_id")))
+    again = again.join(busy.withColumnRenamed("digest", "__digest"), again["doc_id"] == busy["least"]).select("id", "__digest", "__text")
     sets = add_sets(again, "__text", size).where(F.col("digest") == F.col("__digest")).dropDuplicates(["id"]).select("id", "shingles")
-    sets = settle(sets)
+    lists = _candidates(crowded)
     comps = busy.select("id", F.col("id").alias("comp"))
-    links = tried = None
-    idle = 0
-    while idle < PATIENCE:
-        pairs = _candidates(crowded.join(comps, "id"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(_best(pairs))
-        new = _confirm(pairs, sets, percent)
-        tried = pairs if tried is None else tried.union(pairs)
-        if new.isEmpty():
-            idle = PATIENCE if pairs.isEmpty() else idle + 1
-            continue
-        idle = 0
-        links = new if links is None else links.union(new)
-        found = components(links).withColumnRenamed("comp", "__comp")
-        comps = settle(busy.select("id").join(found, "id", "left").select("id", F.coalesce("__comp", "id").alias("comp")))
+    with bucketed(sets, "id") as sets:
+        links = tried = None
+        place = idle = 0
+        while idle < PATIENCE and place < LISTED:
+            pairs = lists.where(F.size("near") > place).select("a", F.get("near", F.lit(place)).alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if links is not None:  # links within a component are of no use
+                of = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
+                pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
+            pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+            place += 1
+            if pairs.isEmpty():
+                idle += 1
+                continue
+            tried = pairs if tried is None else tried.union(pairs)
+            new = _confirm(pairs, sets, percent)
+            if new.isEmpty():
+                idle += 1
+                continue
+            idle = 0
+            links = new if links is None else links.union(new)
+            comps = _components_of(busy, links)
+        if links is not None:
+            pairs = settle(_hub_pairs(lists, links, comps).join(tried, ["a", "b"], "left_anti"))
+            links = links.union(_confirm(pairs, sets, percent))
+            comps = _components_of(busy, links)
     comps = classes.select("id").join(comps.withColumnRenamed("comp", "__comp"), "id", "left").select("id", F.coalesce("__comp", "id").alias("comp"))
     named = comps.join(classes.select("id", "least", "digest"), "id")
     # components by smallest doc_id; an id in several classes ties their components together
