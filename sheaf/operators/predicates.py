@@ -33,7 +33,7 @@ def _number(value: object) -> float | None:
 
 
 def condition(df: DataFrame, c: Condition, compat: bool = False) -> Column:
-    """The condition as a boolean column without nulls.
+    """The condition as a boolean column; null counts as false, and bare comparisons reach the scan.
 
     Equality doesn't coerce types. Comparisons are numeric. Text tests see numbers as text. With compat, null counts as
     0 in comparisons and as the text 'null' in text tests, and not equal to anything but null.
@@ -49,30 +49,30 @@ def condition(df: DataFrame, c: Condition, compat: bool = False) -> Column:
         elif not literal_fits(kind, value) or value != value:
             same = F.lit(False)
         else:
-            same = own.eqNullSafe(F.lit(lowered(value)))
-        return same if op == "eq" else ~same
+            same = own == F.lit(lowered(value))
+        return same if op == "eq" else ~_false_if_null(same)
     if op in ("in", "notIn"):
         if not isinstance(value, (list, tuple, set)):
             return F.lit(op == "notIn")
         fit = [lowered(v) for v in value if v is not None and literal_fits(kind, v)]
-        found = _false_if_null(own.isin(*fit)) if fit else F.lit(False)
+        found = own.isin(*fit) if fit else F.lit(False)
         found = found | col.isNull() if None in value else found
-        return found if op == "in" else ~found
+        return found if op == "in" else ~_false_if_null(found)
     if op in _COMPARE:
         bound = _number(value)
         if bound is None:
             return F.lit(False)
         if isinstance(value, int) and not isinstance(value, bool) and isinstance(kind, T.IntegralType):
             bound = value  # a bare comparison reaches the scan
-        return _false_if_null(_COMPARE[op](js_number(col, kind, compat), F.lit(bound)))
+        return _COMPARE[op](js_number(col, kind, compat), F.lit(bound))
     if op in ("contains", "startsWith", "endsWith", "regex"):
         text = js_string(col, kind, compat)
         text = F.lower(text) if fold and op != "regex" else text
         wanted = lowered("null" if value is None else str(value))
         if op == "regex":
-            return _false_if_null(text.rlike(("(?i)" if c.ignore_case else "") + java_regex(str(value))))
+            return text.rlike(("(?i)" if c.ignore_case else "") + java_regex(str(value)))
         test = {"contains": text.contains, "startsWith": text.startswith, "endsWith": text.endswith}[op]
-        return _false_if_null(test(wanted))
+        return test(wanted)
     if op in ("isNull", "notNull"):
         empty = col.isNull() | (col == "") if isinstance(kind, T.StringType) else col.isNull()
         empty = _false_if_null(empty)

@@ -145,12 +145,13 @@ def _native(spark: SparkSession, path: str, o: CsvOptions, names: list[str]) ->
     df = (
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True).option("sep", o.delimiter).option("quote", o.quote).option("escape", o.quote).option("multiLine", True)
-        .option("encoding", o.encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("maxCharsPerColumn", -1)
+        .option("encoding", o.encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("maxCharsPerColumn", -1).option("columnPruning", False)
         .option("ignoreLeadingWhiteSpace", o.trim or o.ltrim).option("ignoreTrailingWhiteSpace", o.trim or o.rtrim)
         .csv(path)
     )
-    rows = df.where(F.col("__bad").isNull()).select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
-    bad = df.where(F.col("__bad").isNotNull()).select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.lit("ColumnMismatch").alias("error"), F.lit("wrong number of columns").alias("message"), F.col("__bad").alias("raw"))
+    some = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0  # a query may not read the fault column alone
+    rows = df.where(some & F.col("__bad").isNull()).select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
+    bad = df.where(some & F.col("__bad").isNotNull()).select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.lit("ColumnMismatch").alias("error"), F.lit("wrong number of columns").alias("message"), F.col("__bad").alias("raw"))
     return rows, bad
 
 
