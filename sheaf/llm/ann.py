@@ -93,8 +93,8 @@ def search(df: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", v
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     kept = settle(rows.withColumn("place", place).where(F.col("place") <= k + 1))
     sample = kept.where("place = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    pivots = np.array([r["vector"] for r in sample]).reshape(len(sample), -1)
-    pivots = pivots / norms(pivots)[:, None] if len(sample) else pivots
+    pivots = np.array([r["vector"] for r in sample]).reshape(len(sample), length["n"] if length else 0)
+    pivots = pivots / norms(pivots)[:, None]
     asked = rows.where(F.col("vec_id") % every == 0)
     asked = settle(asked)
     blocks = -(-asked.count() // QUERIES)

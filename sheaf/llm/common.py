@@ -8,15 +8,19 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and characters that one call of a text function sees at most (a single longer text goes alone).
 CHUNK_ROWS, CHUNK_CHARS = 512, 1_000_000
 
+#: Bits of an id filter: a fixed size, 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
 #: White space and words as the contracts define them: ASCII space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,6 +58,25 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_filter(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test that is true for every id in a column, and for few others while they are few: a hash filter of fixed size,
+    gathered as at most FILTER_BITS / 64 words. What passes it still has to be joined."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    at = ids.select(place(F.col(name)).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words:
+        bits[r["w"]] = r["bits"]
+    held = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def hit(p):  # noqa: ANN001, ANN202
+        at = p.to_numpy()
+        return type(p)((held.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return lambda c: hit(place(c))
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """df as a table in the shared folder, in buckets by key: joins on key don't shuffle it. It goes at the end."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import map_column, q, settle, without
+from sheaf.llm.common import id_filter, map_column, q, settle, without
 
 WORD_SHARE = 1e-5  # at most 100,000 words
 PAIR_SHARE = 2e-6  # at most 500,000 bigrams
@@ -35,29 +35,32 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _emit(counts: Counter, aimed: Counter, kind: pa.DataType, field: str) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array([counts[k] for k in keys], pa.int64()), pa.array([aimed.get(k, 0) for k in keys], pa.int64())], names=[field, "n", "t"])
+def _both(background: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """(key, n, t) of partial counts (key, c) of all documents and of target ones."""
+    zero = F.lit(0).cast("long")
+    parts = background.select(key, F.col("c").alias("n"), zero.alias("t")).union(target.select(key, zero.alias("n"), F.col("c").alias("t")))
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n, t): occurrences in all documents and in target ones, of (text, target) rows."""
+def count_words(background: DataFrame, target: DataFrame) -> DataFrame:
+    """(word, n, t): occurrences in all texts and in target ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, aimed = Counter(), Counter()
+        counts: Counter[bytes] = Counter()
+
+        def put() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+
         for batch in batches:
-            for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist(), strict=True):
-                found = words(text)
-                counts.update(found)
-                if target:
-                    aimed.update(found)
+            for text in batch["text"]:
+                counts.update(words(text.as_py()))
                 if len(counts) > HELD:
-                    yield _emit(counts, aimed, pa.binary(), "word")
-                    counts, aimed = Counter(), Counter()
-        yield _emit(counts, aimed, pa.binary(), "word")
+                    yield put()
+                    counts.clear()
+        yield put()
 
-    partial = docs.select("text", "target").mapInArrow(run, "word binary, n long, t long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    partial = lambda df: df.select("text").mapInArrow(run, "word binary, c long")
+    return _both(partial(background), partial(target), "word")
 
 
 def encode(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
@@ -66,38 +69,33 @@ def encode(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
     return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
 
-def count_pairs(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+def count_pairs(background: DataFrame, target: DataFrame, ids: dict[bytes, int]) -> DataFrame:
     """(pair, n, t) of adjacent tokens; a document starts after the unknown word."""
     size = len(ids) + 1
-    held = docs.sparkSession.sparkContext.broadcast(ids)
+    held = background.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
+        waiting: list[np.ndarray] = [np.zeros(0, np.int64)]
 
-        def put(all_: list[np.ndarray], aimed: list[np.ndarray]) -> pa.RecordBatch:
-            none = np.zeros(0, np.int64)
-            keys, n = np.unique(np.concatenate([none, *all_]), return_counts=True)
-            few, m = np.unique(np.concatenate([none, *aimed]), return_counts=True)
-            t = np.zeros(len(keys), np.int64)
-            t[np.searchsorted(keys, few)] = m
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64)), pa.array(t)], names=["pair", "n", "t"])
+        def put() -> pa.RecordBatch:
+            keys, c = np.unique(np.concatenate(waiting), return_counts=True)
+            del waiting[1:]
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], names=["pair", "c"])
 
-        all_, aimed, total = [], [], 0
+        total = 0
         for batch in batches:
-            for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist(), strict=True):
-                got = encode(text, vocabulary)
-                pairs = np.concatenate([[0], got[:-1]]) * size + got if len(got) else got
-                all_.append(pairs)
-                total += len(pairs)
-                if target:
-                    aimed.append(pairs)
+            for text in batch["text"]:
+                got = encode(text.as_py(), vocabulary)
+                waiting.append(np.concatenate([[0], got[:-1]]) * size + got if len(got) else got)
+                total += len(got)
                 if total > 4_000_000:
-                    yield put(all_, aimed)
-                    all_, aimed, total = [], [], 0
-        yield put(all_, aimed)
+                    yield put()
+                    total = 0
+        yield put()
 
-    partial = docs.select("text", "target").mapInArrow(run, "pair long, n long, t long")
-    return partial.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    partial = lambda df: df.select("text").mapInArrow(run, "pair long, c long")
+    return _both(partial(background), partial(target), "pair")
 
 
 @dataclass
@@ -127,13 +125,13 @@ class Models:
         return float((found[:, 1] - found[:, 0]).mean()) if len(found) else None
 
 
-def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Models of (text, target) rows; target null counts as false.
+def train(background: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
+    """Models of the texts (a column text) of all documents and of target ones. Null texts have no words.
 
     Without target documents the target model is uniform, and so the score is that against the background; without
     documents both are. Shares bound what the driver and the broadcasts hold.
     """
-    counted = settle(count_words(docs))
+    counted = settle(count_words(background, target))
     totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     kept = counted.where(F.col("n") >= max(2.0, word_share * totals[0])).orderBy("word").collect()  # at most 1 / word_share
     ids = {bytes(r["word"]): k for k, r in enumerate(kept, 1)}
@@ -143,7 +141,7 @@ def train(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = P
     counts[0] = np.array(totals, dtype=float) - counts.sum(axis=0)
     smooth = (counts + 1) / (counts.sum(axis=0) + len(counts))
     # a bigram's share is of its first word's occurrences as a first word
-    pairs = settle(count_pairs(docs, ids))
+    pairs = settle(count_pairs(background, target, ids))
     firsts = pairs.groupBy(F.floor(F.col("pair") / (len(ids) + 1)).alias("first")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     context = np.zeros((len(ids) + 1, 2))
     for r in firsts:
@@ -179,8 +177,12 @@ def score(df: DataFrame, models: Models, col: str = "text") -> DataFrame:
     return map_column(df.select(*(F.col(q(c)) for c in without(df, SCORED.fieldNames()))), col, SCORED, make)
 
 
-def with_target(docs: DataFrame, labels: DataFrame, col: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(text, target) of every document: target ones are those with a label of 1 for their id. Rows without an id or label aren't."""
-    good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct().withColumn("target", F.lit(True))
-    both = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("text")).join(good, "__id", "left")
-    return both.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+def target_texts(docs: DataFrame, labels: DataFrame, col: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The texts of documents with a label of 1 for their id, as a table of its own. Rows without an id or label aren't target.
+
+    A filter of fixed size drops most other documents before the join, which only target texts have to be shuffled for.
+    """
+    good = settle(labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct())
+    texts = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("text"))
+    likely = texts.where(id_filter(good, "__id")(F.col("__id")))
+    return settle(likely.join(good.hint("merge"), "__id", "left_semi").select("text"))

@@ -10,7 +10,7 @@ them: in a group of many copies, a class may be similar enough to the one that a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import bucketed, map_column, q, settle, without
+from sheaf.llm.common import bucketed, id_filter, map_column, q, settle, without
 
 HASHES = 64  # of a signature
 TREES = 24
@@ -29,7 +29,6 @@ LISTED = 24  # of these that are listed for each class and tree, by agreeing has
 PATIENCE = 3  # rounds without a new link before the search ends
 LEAST_EQUAL = 37  # of HASHES; at a similarity of 0.8 fewer are equal once in 500,000 pairs
 HUBS = 8  # most linked members of a component that classes near it meet at last
-FILTER_BITS = 1 << 24  # of the filter for texts that are read again: a fixed size, whatever the input
 
 _rng = np.random.default_rng(20_240_607)
 _WORD_FACTORS = _rng.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,25 +238,6 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return settle(inner.union(across.groupBy("border").applyInArrow(meet, "a long, near array<long>")))
 
 
-def _may_hold(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test that is true for all ids of a column "least", and for few others while they are few: a hash filter of
-    fixed size, gathered as at most FILTER_BITS / 64 words."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    at = ids.select(place(F.col("least")).alias("p"))
-    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words:
-        bits[r["w"]] = r["bits"]
-    held = ids.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def hit(p):  # noqa: ANN001, ANN202
-        at = p.to_numpy()
-        return type(p)((held.value[at // 64] >> (at % 64)) & 1 == 1)
-
-    return lambda c: hit(place(c))
-
-
 def _overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two sets."""
 
@@ -336,7 +316,7 @@ def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", si
     crowded = settle(_tree_rows(busy))
     busy = busy.select("id", "least", "digest")
     # sets are made again from the texts of the few classes that have candidates
-    again = texts.where(_may_hold(busy)(F.col("doc_id")))
+    again = texts.where(id_filter(busy, "least")(F.col("doc_id")))
     again = again.join(busy.withColumnRenamed("digest", "__digest"), again["doc_id"] == busy["least"]).select("id", "__digest", "__text")
     sets = add_sets(again, "__text", size).where(F.col("digest") == F.col("__digest")).dropDuplicates(["id"]).select("id", "shingles")
     lists = _candidates(crowded)
