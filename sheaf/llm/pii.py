@@ -193,7 +193,7 @@ def shown(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def redact(df: DataFrame, col: str = "text", spans: str = "spans") -> Column:
+def redact(col: str = "text", spans: str = "spans") -> Column:
     """The text with each span replaced by its kind in square brackets; spans that overlap become one, the first's kind."""
     text = F.col(q(col))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
