@@ -61,7 +61,7 @@ def test_contexts_find_unseen_identifiers(spark, make_docs):
     df = pii.find_personal(make_docs([(i, t, "s") for i, t in enumerate(seeds + unseen)]))
     added = {r["doc_id"]: [s for s in r["spans"] if s not in r["base_spans"]] for r in df.collect()}
     assert {k: [(s["kind"], s["start"], s["end"]) for s in v] for k, v in added.items() if v} == {10: [("phone", 18, 31)]}
-    shown = {r["doc_id"]: r["t"] for r in df.select("doc_id", pii.redact(df).alias("t")).collect()}
+    shown = {r["doc_id"]: r["t"] for r in df.select("doc_id", pii.redact().alias("t")).collect()}
     assert shown[10] == "please call me at [PHONE], today" and shown[0] == "please call me at [PHONE] today" and shown[11] == unseen[1]
 
 
