@@ -232,7 +232,7 @@ _on(
 _numbered = lambda df: df.select((F.col("n_nationkey") + 1).alias(ordering.ROW), "n_name")
 _on(
     "splice_rows", "nation", lambda df: reshape.splice_rows(_numbered(df), 3, 2, df.sparkSession.createDataFrame([(1, "new")], f"{ordering.ROW} int, n_name string")).withColumnRenamed(ordering.ROW, "pos"),
-    """select case when n_nationkey + 1 >= 5 then n_nationkey + 1 - 2 + 1 else n_nationkey + 1 end::bigint as pos, n_name from nation where n_nationkey + 1 not in (3, 4) union all select 3, 'new'""",
+    """select case when n_nationkey + 1 >= 5 then n_nationkey + 1 - 2 + 1 else n_nationkey + 1 end::int as pos, n_name from nation where n_nationkey + 1 not in (3, 4) union all select 3, 'new'""",
 )
 _on(
     "duplicate_row", "nation", lambda df: reshape.duplicate_row(_numbered(df), 2, 2).withColumnRenamed(ordering.ROW, "pos"),
