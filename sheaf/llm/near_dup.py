@@ -281,10 +281,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
-def _components_of(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp) of all classes: those without a link are their own component."""
-    found = components(links).withColumnRenamed("comp", "__comp")
-    return settle(classes.select("id").join(found, "id", "left").select("id", F.coalesce("__comp", "id").alias("comp")))
+def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) with components that new links connect made one: only components are compared, not their members."""
+    of = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
+    across = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = components(across).select(F.col("id").alias("comp"), F.col("comp").alias("__to"))
+    return settle(comps.join(found, "comp", "left").select("id", F.coalesce("__to", "comp").alias("comp")))
 
 
 def _hub_pairs(lists: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
@@ -342,11 +344,10 @@ def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", si
                 continue
             idle = 0
             links = new if links is None else links.union(new)
-            comps = _components_of(busy, links)
+            comps = _merge(comps, new)
         if links is not None:
             pairs = settle(_hub_pairs(lists, links, comps).join(tried, ["a", "b"], "left_anti"))
-            links = links.union(_confirm(pairs, sets, percent))
-            comps = _components_of(busy, links)
+            comps = _merge(comps, _confirm(pairs, sets, percent))
     comps = classes.select("id").join(comps.withColumnRenamed("comp", "__comp"), "id", "left").select("id", F.coalesce("__comp", "id").alias("comp"))
     named = comps.join(classes.select("id", "least", "digest"), "id")
     # components by smallest doc_id; an id in several classes ties their components together
