@@ -422,6 +422,37 @@ _on(
 )
 
 
+# Python hooks.
+def _mapped(df: DataFrame) -> DataFrame:
+    from sheaf.operators.hooks import map_rows
+
+    return map_rows(df.select("n_nationkey", "n_name"), lambda r: {"k": r["n_nationkey"], "v": r["n_name"][::-1]} if r["n_nationkey"] % 2 else None, "k int, v string")
+
+
+_on("udf_row_transform", "nation", _mapped, "select n_nationkey as k, reverse(n_name) as v from nation where n_nationkey % 2 = 1")
+
+
+def _validated(df: DataFrame) -> DataFrame:
+    from sheaf.operators.hooks import validate_rows
+
+    return validate_rows(df.select("r_regionkey", "r_name"), lambda r: (len(r["r_name"]) > 4, "short"))[1]
+
+
+_on("udf_validate", "region", _validated, "select r_regionkey, r_name, 'short' as _reason from region where length(r_name) <= 4")
+_on(
+    "unpivot", "nation", lambda df: reshape.unpivot(df.select("n_name", "n_nationkey", "n_regionkey"), ["n_name"], ["n_nationkey", "n_regionkey"]),
+    "select n_name, 'n_nationkey' as field, n_nationkey as value from nation union all select n_name, 'n_regionkey', n_regionkey from nation",
+)
+_on("type_transform", "customer", lambda df: _formatted(df), "select c_custkey::varchar || ',' || case when c_acctbal < 0 then 'neg' else 'pos' end as value from customer")
+
+
+def _formatted(df: DataFrame) -> DataFrame:
+    from sheaf.sinks.csv import FormatOptions, lines
+
+    shown = {"double": lambda c: F.when(c < 0, "neg").otherwise("pos")}
+    return lines(df.select("c_custkey", "c_acctbal"), FormatOptions(type_transform=shown))
+
+
 # Files: written to, and read from, a folder of their own.
 def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -148,6 +148,11 @@ def remove_rows(table: DataFrame, start: int, count: int = 1, row: str = ROW) ->
     return splice_rows(table, start, count, row=row)
 
 
+def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], field: str = "field", value: str = "value") -> DataFrame:
+    """Columns as rows: the inverse of a cross table."""
+    return df.unpivot(list(ids), list(columns), field, value)
+
+
 def row_text(df: DataFrame, separator: str = ",", out: str = "line") -> DataFrame:
     return df.select(F.concat_ws(separator, *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias(out))
 

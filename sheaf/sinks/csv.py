@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,7 @@ class FormatOptions:
     bom: bool = False
     trailing_newline: bool = False
     compression: str | None = None
+    type_transform: dict[str, Callable[[Column], Column]] | None = None  # by Spark's type name, what makes text of it
 
     def __post_init__(self) -> None:
         if self.decimal == self.delimiter:
@@ -38,6 +39,9 @@ class FormatOptions:
 def cell_text(df: DataFrame, name: str, o: FormatOptions) -> Column:
     """A column's values as text: times ISO 8601, whole doubles without fraction, nested values JSON, null empty."""
     col, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    special = (o.type_transform or {}).get(kind.typeName())
+    if special is not None:
+        return F.coalesce(special(col).cast("string"), F.lit(""))
     text = format_number(col, kind, o.decimal) if isinstance(kind, T.NumericType) else js_string(col, kind)
     text = F.coalesce(text, F.lit(""))
     return escape_formula(text) if o.escape_formulae and isinstance(kind, T.StringType) else text
