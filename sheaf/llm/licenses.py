@@ -74,11 +74,16 @@ OPENINGS = ["Licensed under", "Released under", "Distributed under", "This work
 SPEAKS = r"(?i)licen[sc]e|released under|distributed under|copyright"
 
 
+#: Lines that don't count: a copyright sign or word with a year or a sign, and the usual reservation.
+UNCOUNTED = (r"(?m)^[^\w\n©]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|©|\(c\))[^\n]*$", r"(?m)^\W*all rights reserved\W*$")
+LONGEST_LINE = 400  # code points of a line that can be a notice; the longest known one has fewer by far
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     c = F.lower(text)
-    c = F.regexp_replace(c, r"(?m)^[^\w\n©]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|©|\(c\))[^\n]*$", " ")
-    c = F.regexp_replace(c, r"(?m)^\W*all rights reserved\W*$", " ")
+    for line in UNCOUNTED:
+        c = F.regexp_replace(c, line, " ")
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -89,15 +94,42 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def entries() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(license, text) of license texts, and of notices."""
+    texts = [(k, t) for k, all_ in TEXTS.items() for t in all_]
+    return texts, [(k, f"{o} {the}{n}") for k, names in NAMES.items() for n in names for o in OPENINGS for the in ("", "the ")]
+
+
 def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(digest, license) of license texts, and of notices: tables of a size that is fixed here."""
-    notice = lambda o, n: [f"{o} {n}", f"{o} the {n}"]
-    texts = [(k, t) for k, all_ in TEXTS.items() for t in all_]
-    notices = [(k, x) for k, names in NAMES.items() for n in names for o in OPENINGS for x in notice(o, n)]
+    texts, notices = entries()
     frame = lambda rows: spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").dropDuplicates(["digest"])
     return frame(texts), frame(notices)
 
 
+def sql(table: str) -> str:
+    """What scan() gives of (doc_id, text) rows with distinct ids, without the text, as DuckDB SQL."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+
+    def hashed(c: str) -> str:
+        c = f"lower({c})"
+        for line in UNCOUNTED:
+            c = f"regexp_replace({c}, {text(line)}, ' ', 'g')"
+        c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        for old, new in SPELLINGS.items():
+            c = f"replace({c}, ' {old} ', ' {new} ')"
+        return f"sha256(trim({c}))"
+
+    rows = ["(values " + ", ".join(f"({text(k)}, {text(t)})" for k, t in part) + ") v(license, t)" for part in entries()]
+    pick = lambda r: f"(select {hashed('t')} as digest, min(license) as license from {r} group by 1)"
+    return f"""with d as (select doc_id, coalesce(text, '') as text from {table}), texts as {pick(rows[0])}, notices as {pick(rows[1])},
+    lines as (select doc_id, unnest(string_split(text, chr(10))) as x from d),
+    said as (select doc_id, string_agg(distinct n.license, ',' order by n.license) as notices from
+        (select doc_id, {hashed('x')} as h from lines where length(x) <= {LONGEST_LINE} and regexp_matches(x, {text(SPEAKS)})) l join notices n on l.h = n.digest group by 1)
+    select d.doc_id, {hashed('d.text')} as digest, t.license, coalesce(s.notices, '') as notices
+    from d left join texts t on t.digest = {hashed('d.text')} left join said s on s.doc_id = d.doc_id"""
+
+
 ADDED = ("digest", "license", "notices")
 
 
@@ -111,7 +143,7 @@ def scan(df: DataFrame, col: str = "text", keep_text: bool = True) -> DataFrame:
     """
     keep = [c for c in without(df, [*ADDED, "__row"]) if keep_text or c != col]
     text = F.coalesce(F.col(q(col)), F.lit(""))
-    lines = F.filter(F.split(text, r"\n"), lambda x: (F.length(x) <= 400) & x.rlike(SPEAKS))
+    lines = F.filter(F.split(text, r"\n"), lambda x: (F.length(x) <= LONGEST_LINE) & x.rlike(SPEAKS))
     base = df.select(*(F.col(q(c)) for c in keep), digest(text).alias("digest"), F.transform(lines, digest).alias("__lines"), F.monotonically_increasing_id().alias("__row"))
     base = settle(base)
     texts, notices = known(df.sparkSession)
