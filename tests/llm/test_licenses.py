@@ -26,3 +26,12 @@ def test_query_finds_the_notices(spark, sf_dir):
     for r in queries.op9_licenses(spark, sf_dir).collect():
         want = sorted({known[x] for x in texts[r["doc_id"]].split("\n") if x in known})
         assert set(want) <= set(filter(None, r["notices"].split(",")))
+
+
+def test_same_as_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    got = queries.op9_licenses(spark, sf_dir).select("doc_id", "digest", "license", "notices").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.oracle_sql()["op9_licenses"]).fetchall())
