@@ -4,154 +4,225 @@ Two bigram models, of target documents and of the background (all documents), sh
 one set of kept bigrams. A document's score is the mean over its tokens of the target's loss less the background's:
 lower means nearer to the target.
 
-Counts cover all documents. What is kept of them is a matter of share: a word stays in the vocabulary if it makes up
-WORD_SHARE of all background tokens, a bigram if it makes up PAIR_SHARE. So neither table can have more entries than
-one over its share, at any size of the corpus, and both may be broadcast.
+Every word that all documents have LEAST times is in the vocabulary, and every bigram of that count is kept, so the
+models grow with the corpus. They are tables by a 64-bit hash of the word or bigram, which each document's distinct
+words and bigrams are joined to. Only the most frequent entries, of which shares bound the number, are broadcast
+instead of joined: no key of the join is in more than a small share of the rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import id_filter, map_column, q, settle, without
+from sheaf.llm.common import id_filter, q, settle, without
 
-WORD_SHARE = 1e-5  # at most 100,000 words
-PAIR_SHARE = 2e-6  # at most 500,000 bigrams
-HELD = 200_000  # distinct entries that a task holds before it emits them
+WORD_SHARE = 1e-5  # of all tokens; words from this share on, at most 100,000, are broadcast
+PAIR_SHARE = 2e-6  # of all tokens; bigrams from this share on, at most 500,000, are broadcast
+LEAST = 2  # occurrences of words in the vocabulary and of kept bigrams, at any size
+HELD = 2_000_000  # tokens that a task holds before it emits their counts
 MIX = 0.7  # weight of the bigram estimate
 
 
-
-
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _both(background: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """(key, n, t) of partial counts (key, c) of all documents and of target ones."""
-    zero = F.lit(0).cast("long")
-    parts = background.select(key, F.col("c").alias("n"), zero.alias("t")).union(target.select(key, zero.alias("n"), F.col("c").alias("t")))
-    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+def encode(text: str | None) -> np.ndarray:
+    """Hashes of a text's tokens; 0 is none of them, it stands for words out of the vocabulary and a document's start."""
+    digest = xxhash.xxh3_64_intdigest
+    got = np.array([digest(w) for w in words(text)], dtype=np.uint64).view(np.int64)
+    got[got == 0] = 1
+    return got
 
 
-def count_words(background: DataFrame, target: DataFrame) -> DataFrame:
-    """(word, n, t): occurrences in all texts and in target ones."""
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams of two tokens each."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def _counted(df: DataFrame, count: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """Partial counts of df's texts: count() gets the non-empty encoded texts of a part and gives columns."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[np.ndarray] = []
 
         def put() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            columns = [pa.array(c, pa.int64()) for c in count(held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
+        total = 0
         for batch in batches:
             for text in batch["text"]:
-                counts.update(words(text.as_py()))
-                if len(counts) > HELD:
+                got = encode(text.as_py())
+                if len(got):
+                    held.append(got)
+                    total += len(got)
+                if total > HELD:
                     yield put()
-                    counts.clear()
-        yield put()
+                    total = 0
+        if held:
+            yield put()
 
-    partial = lambda df: df.select("text").mapInArrow(run, "word binary, c long")
-    return _both(partial(background), partial(target), "word")
+    return df.select("text").mapInArrow(run, schema)
 
 
-def encode(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    """Token ids of a text: 0 stands for every word out of the vocabulary."""
-    get = ids.get
-    return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
+def _word_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """(key, c, starts, lasts, before, after): occurrences, those at a text's ends, and one occurrence's neighbours."""
+    tokens = np.concatenate(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.append(0, ends[:-1])
+    before, after = np.append(0, tokens[:-1]), np.append(tokens[1:], 0)
+    before[starts] = after[ends - 1] = 0
+    keys, one, place, c = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    at = lambda i: np.bincount(place[i], minlength=len(keys))
+    return [keys, c, at(starts), at(ends - 1), before[one], after[one]]
 
 
-def count_pairs(background: DataFrame, target: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(pair, n, t) of adjacent tokens; a document starts after the unknown word."""
-    size = len(ids) + 1
-    held = background.sparkSession.sparkContext.broadcast(ids)
+def _pair_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
+    return list(np.unique(np.concatenate([pair_keys(t[:-1], t[1:]) for t in texts]), return_counts=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = held.value
-        waiting: list[np.ndarray] = [np.zeros(0, np.int64)]
 
-        def put() -> pa.RecordBatch:
-            keys, c = np.unique(np.concatenate(waiting), return_counts=True)
-            del waiting[1:]
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], names=["pair", "c"])
+def count_words(background: DataFrame, target: DataFrame) -> DataFrame:
+    """(key, n, t, fn, ft, zn, zt, bn, bt) of each word: occurrences in all texts and in target ones, those with a next
+    word, those after a word out of the vocabulary or at the start, and those before one out of the vocabulary.
+
+    Words out of the vocabulary occur once in all texts, so their neighbours are known from the counting.
+    """
+    schema = "key long, c long, starts long, lasts long, before long, after long"
+    zero = F.lit(0).cast("long")
+    base, aim = _counted(background, _word_counts, schema), _counted(target, _word_counts, schema)
+    side = lambda c, first: (F.col(c).alias(f"n{c}"), zero.alias(f"t{c}")) if first else (zero.alias(f"n{c}"), F.col(c).alias(f"t{c}"))
+    near = lambda first: [(F.col(c) if first else F.lit(None).cast("long")).alias(c) for c in ("before", "after")]
+    row = lambda df, first: df.select("key", *(x for c in ("c", "starts", "lasts") for x in side(c, first)), *near(first))
+    sums = [F.sum(f"{k}{c}").alias(f"{k}{c}") for c in ("c", "starts", "lasts") for k in "nt"]
+    found = settle(row(base, True).union(row(aim, False)).groupBy("key").agg(*sums, F.min("before").alias("before"), F.min("after").alias("after")))
+    out = found.where(F.col("nc") < LEAST)
+    own = found.select("key", F.col("nc").alias("n"), F.col("tc").alias("t"), (F.col("nc") - F.col("nlasts")).alias("fn"), (F.col("tc") - F.col("tlasts")).alias("ft"), F.col("nstarts").alias("zn"), F.col("tstarts").alias("zt"), zero.alias("bn"), zero.alias("bt"))
+    ahead = out.where("after <> 0").select(F.col("after").alias("key"), *(zero.alias(c) for c in ("n", "t", "fn", "ft")), F.col("nc").alias("zn"), F.col("tc").alias("zt"), zero.alias("bn"), zero.alias("bt"))
+    behind = out.where("before <> 0").select(F.col("before").alias("key"), *(zero.alias(c) for c in ("n", "t", "fn", "ft", "zn", "zt")), F.col("nc").alias("bn"), F.col("tc").alias("bt"))
+    return own.union(ahead).union(behind).groupBy("key").agg(*(F.sum(c).alias(c) for c in VALUES))
+
+
+def count_pairs(background: DataFrame, target: DataFrame) -> DataFrame:
+    """(key, n, t) of adjacent words: occurrences in all texts and in target ones. Both words of a pair that occurs LEAST
+    times are in the vocabulary."""
+    zero = F.lit(0).cast("long")
+    part = lambda df: _counted(df, _pair_counts, "key long, c long")
+    parts = part(background).select("key", F.col("c").alias("n"), zero.alias("t")).union(part(target).select("key", zero.alias("n"), F.col("c").alias("t")))
+    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+VALUES = ("n", "t", "fn", "ft", "zn", "zt", "bn", "bt")
 
-        total = 0
-        for batch in batches:
-            for text in batch["text"]:
-                got = encode(text.as_py(), vocabulary)
-                waiting.append(np.concatenate([[0], got[:-1]]) * size + got if len(got) else got)
-                total += len(got)
-                if total > 4_000_000:
-                    yield put()
-                    total = 0
-        yield put()
 
-    partial = lambda df: df.select("text").mapInArrow(run, "pair long, c long")
-    return _both(partial(background), partial(target), "pair")
+def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted keys among sorted ones, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 @dataclass
-class Models:
-    """The two models. Arrays by word id (0: unknown) and by kept bigram; column 0 is the background, 1 the target."""
+class Head:
+    """What is broadcast: sums of a fixed number, and the most frequent words and bigrams, sorted by key.
+
+    Columns are as those of VALUES; the row unknown stands for words out of the vocabulary, together with the start."""
 
-    ids: dict[bytes, int]
-    word_loss_base: np.ndarray  # word id x 2: smoothed unigram probabilities
-    pairs: np.ndarray  # sorted keys of kept bigrams
-    pair_share: np.ndarray  # kept bigram x 2: maximum likelihood estimates
+    unknown: np.ndarray
+    sums: np.ndarray  # tokens and vocabulary of each model: the denominators
+    word_keys: np.ndarray
+    word_values: np.ndarray
+    pair_keys: np.ndarray
+    pair_values: np.ndarray
+
+    def wanted(self, text: str | None) -> np.ndarray:
+        """Distinct keys of a text's words and bigrams that have to be joined."""
+        got = encode(text)
+        if not len(got):
+            return got
+        one, two = np.unique(got), np.unique(pair_keys(got[:-1], got[1:]))
+        return np.concatenate([one[~_look(self.word_keys, one)[1]], two[~_look(self.pair_keys, two)[1]]])
 
-    def losses(self, text: str | None) -> np.ndarray:
-        """Token x 2 losses in nats."""
-        got = encode(text, self.ids)
+    def losses(self, text: str | None, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Token x 2 losses in nats, given the joined entries of the text. Column 0 is the background, 1 the target."""
+        got = encode(text)
         if not len(got):
             return np.zeros((0, 2))
-        keys = np.concatenate([[0], got[:-1]]) * (len(self.ids) + 1) + got
-        p = (1 - MIX) * self.word_loss_base[got]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            hit = self.pairs[at] == keys
-            p[hit] += MIX * self.pair_share[at[hit]]
-        return -np.log(p)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+
+        def find(wanted: np.ndarray, head_keys: np.ndarray, head: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            out = np.zeros((len(wanted), width), np.int64)
+            at, first = _look(head_keys, wanted)
+            out[first] = head[at[first]]
+            at, hit = _look(keys, wanted)
+            hit &= ~first
+            out[hit] = values[at[hit], :width]
+            return out, first | hit
+
+        cur, known = find(got, self.word_keys, self.word_values, len(VALUES))
+        cur[~known] = self.unknown
+        prev, before = np.concatenate([self.unknown[None], cur[:-1]]), np.append(False, known[:-1])
+        # a bigram's count: its own, or that of one with a word out of the vocabulary
+        two = np.where(known[:, None], cur[:, 4:6], prev[:, 6:8])
+        both = np.flatnonzero(known & before)
+        two[both] = find(pair_keys(got[both - 1], got[both]), self.pair_keys, self.pair_values, 2)[0]
+        two[two[:, 0] < LEAST] = 0
+        # a bigram's share is of its first word's occurrences as a first word
+        return -np.log((1 - MIX) * (cur[:, :2] + 1) / self.sums + MIX * two / np.maximum(prev[:, 2:4], 1))
 
-    def score(self, text: str | None) -> float | None:
-        found = self.losses(text)
-        return float((found[:, 1] - found[:, 0]).mean()) if len(found) else None
+
+@dataclass
+class Models:
+    """The two models: what is broadcast, and the table (key, *VALUES) of all other words and kept bigrams."""
+
+    head: Head
+    rest: DataFrame
 
 
 def train(background: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Models of the texts (a column text) of all documents and of target ones. Null texts have no words.
+    """Models of the texts (a column text) of all documents and of target ones, which are among them. Null texts have no words.
 
     Without target documents the target model is uniform, and so the score is that against the background; without
-    documents both are. Shares bound what the driver and the broadcasts hold.
+    documents both are. Shares bound what the driver and the broadcasts hold; they don't change what is counted.
     """
     counted = settle(count_words(background, target))
-    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    kept = counted.where(F.col("n") >= max(2.0, word_share * totals[0])).orderBy("word").collect()  # at most 1 / word_share
-    ids = {bytes(r["word"]): k for k, r in enumerate(kept, 1)}
-    counts = np.zeros((len(ids) + 1, 2))
-    for k, r in enumerate(kept, 1):
-        counts[k] = r["n"], r["t"]
-    counts[0] = np.array(totals, dtype=float) - counts.sum(axis=0)
-    smooth = (counts + 1) / (counts.sum(axis=0) + len(counts))
-    # a bigram's share is of its first word's occurrences as a first word
-    pairs = settle(count_pairs(background, target, ids))
-    firsts = pairs.groupBy(F.floor(F.col("pair") / (len(ids) + 1)).alias("first")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
-    context = np.zeros((len(ids) + 1, 2))
-    for r in firsts:
-        context[r["first"]] = r["n"], r["t"]
-    rows = pairs.where(F.col("n") >= max(2.0, pair_share * totals[0])).orderBy("pair").collect()  # at most 1 / pair_share
-    keys = np.array([r["pair"] for r in rows], dtype=np.int64)
-    shares = np.array([[r["n"], r["t"]] for r in rows], dtype=float).reshape(-1, 2)
-    if len(keys):
-        shares = shares / np.maximum(context[keys // (len(ids) + 1)], 1)
-    return Models(ids, smooth, keys, shares)
+    known = F.col("n") >= LEAST
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).alias(c)
+    every, out = (counted.agg(F.count(F.when(known, 1)).alias("size"), *(total(c, w) for c in VALUES)).first() for w in (F.lit(True), ~known))
+    unknown = np.array([out[c] for c in VALUES], dtype=np.int64)
+    for k, (c, f, z) in enumerate((("n", "fn", "zn"), ("t", "ft", "zt"))):
+        unknown[2 + k] += every[c] - every[f]  # texts: each has a start, before its first word, and a word that is last
+        unknown[6 + k] = out[z]
+    sums = np.array([every["n"], every["t"]], dtype=float) + every["size"] + 1
+    pairs = settle(count_pairs(background, target).where(known))
+
+    def often(df: DataFrame, share: float) -> tuple[Column, np.ndarray, np.ndarray]:
+        """Whether a row is broadcast, and the keys and values of those that are: at most 1 / share."""
+        top = known & (F.col("n") >= share * every["n"])
+        t = df.where(top).orderBy("key").toArrow()
+        return top, t["key"].to_numpy(), np.stack([c.to_numpy() for c in t.columns[1:]], axis=1)
+
+    top_word, word_keys, word_values = often(counted, word_share)
+    top_pair, two_keys, two_values = often(pairs, pair_share)
+    none = [F.lit(None).cast("long").alias(c) for c in VALUES[2:]]
+    rest = counted.where(known & ~top_word).union(pairs.where(~top_pair).select("key", "n", "t", *none))
+    return Models(Head(unknown, sums, word_keys, word_values, two_keys, two_values), rest)
 
 
 SCORED = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -161,20 +232,38 @@ def score(df: DataFrame, models: Models, col: str = "text") -> DataFrame:
     """df with n_tokens, target_loss, background_loss (means for each token, in nats) and score, their difference; all but
     n_tokens are null for texts that are null or have no word. Equal texts get equal scores. Columns of df with one of
     the new names, in any case, are replaced."""
-    held = df.sparkSession.sparkContext.broadcast(models)
+    held = df.sparkSession.sparkContext.broadcast(models.head)
+    keep = without(df, [*SCORED.fieldNames(), "__row", "__text", "__found"])
+    base = settle(df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias("__text"), F.monotonically_increasing_id().alias("__row")))
 
-    def make():
-        one = held.value
-
-        def run(texts):
-            found = [one.losses(t) for t in texts]
-            means = [f.mean(axis=0).tolist() if len(f) else None for f in found]
-            side = lambda k: [m[k] if m else None for m in means]
-            return [len(f) for f in found], side(1), side(0), [float((f[:, 1] - f[:, 0]).mean()) if len(f) else None for f in found]
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                part = batch.slice(i, 500)
+                keys = [held.value.wanted(t) for t in part["__text"].to_pylist()]
+                rows = np.repeat(part["__row"].to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["__row", "key"])
 
-        return run
+    wanted = base.select("__row", "__text").mapInArrow(want, "__row long, key long")
+    found = wanted.join(models.rest.hint("merge"), "key").groupBy("__row").agg(F.collect_list(F.struct("key", *VALUES)).alias("__found"))
+    both = base.join(found.hint("merge"), "__row", "left").select(*(F.col(q(c)) for c in keep), "__text", "__found")
 
-    return map_column(df.select(*(F.col(q(c)) for c in without(df, SCORED.fieldNames()))), col, SCORED, make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(len(keep)), batch.column(len(keep) + 1)
+            means: list[list[float] | None] = []
+            sizes = []
+            for i in range(len(batch)):
+                entries = lists[i].values if lists[i].is_valid else None
+                columns = [pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in entries.flatten()] if entries is not None else [np.zeros(0, np.int64)] * (1 + len(VALUES))
+                got = held.value.losses(texts[i].as_py(), columns[0], np.stack(columns[1:], axis=1))
+                sizes.append(len(got))
+                means.append([*got.mean(axis=0).tolist(), float((got[:, 1] - got[:, 0]).mean())] if len(got) else None)
+            side = lambda k: pa.array([m[k] if m else None for m in means], pa.float64())  # noqa: B023, E731
+            new = [pa.array(sizes, pa.int64()), side(1), side(0), side(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *new], names=[*keep, *SCORED.fieldNames()])
+
+    return both.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *SCORED.fields]))
 
 
 def target_texts(docs: DataFrame, labels: DataFrame, col: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:

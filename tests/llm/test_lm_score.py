@@ -41,6 +41,18 @@ def test_same_as_counting(spark, make_docs):
     assert got[40] is None and got[99] is None and got[1] < 0 < got[0]
 
 
+def test_shares_drop_nothing(spark, make_docs):
+    texts = [f"the cat {i // 2} sat on mat {i % 7} today" if i % 3 else f"fell {i // 4} x{i} y{i} on the market x{i + 1}" for i in range(60)] + ["new1 new2 new3", "cat new4"]
+    targets = [i % 3 == 1 and i < 60 for i in range(len(texts))]
+    docs, target = make_docs(texts), make_docs([t for t, x in zip(texts, targets, strict=True) if x])
+    models = lm_score.train(docs, target, 0.05, 0.05)  # most words and bigrams are below these shares
+    assert 0 < len(models.head.word_keys) < 10 and models.rest.count() > 50
+    more = [*texts, "market the cat unseen 3 unseen sat on"]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(make_docs(more), models).collect()}
+    for i, text in enumerate(more):
+        assert got[i] == pytest.approx(plain(texts, targets, 0, 0, text), rel=1e-9, abs=1e-12)
+
+
 def test_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     models = lm_score.train(odd_docs, lm_score.target_texts(odd_docs, labels))
