@@ -163,7 +163,8 @@ def measure(root: Node) -> list[Node]:
         c, lc = node.chars, node.chars if node.tag == "a" else node.link_chars
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         ratio = c / max(1, lc) * max(1, node.tags) / max(1, node.link_tags)
-        node.density = c / max(1, node.tags) * math.log(max(ratio, 1.0)) / math.log(base) if c and base > 1 else float(c and ratio > 1)
+        # without links the base would be 1: its logarithm is kept from falling below 1, so that characters per tag count
+        node.density = c / max(1, node.tags) * math.log(max(ratio, 1.0)) / max(1.0, math.log(base)) if c else 0.0
         kids = [k.density for k in node.kids if not isinstance(k, str)]
         node.total = sum(kids) if kids else node.density
     return nodes
@@ -182,7 +183,7 @@ def select(root: Node) -> Node | None:
     # siblings as dense as the path belong to the article: go up to the container of them all
     top = best
     for up in path[1:]:
-        if sum(k.density >= least and k.chars > 0.1 * best.chars and k.link_chars < 0.5 * k.chars for k in up.kids if not isinstance(k, str)) > 1:
+        if sum(k.density >= least and k.link_chars < 0.5 * k.chars for k in up.kids if not isinstance(k, str)) > 1:
             top = up
     for up in path:
         if up.tag in ("article", "main") or up.marks.get("role") == "main" or up.marks.get("itemprop") == "articleBody":

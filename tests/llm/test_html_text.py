@@ -19,6 +19,16 @@ def test_article_only():
     assert html_text.main_text(PAGE).split("\n") == want
 
 
+def test_pages_without_links():
+    long = [f"Paragraph {i} of the article goes on for quite a while, " + "with many more words than any item has, " * 8 + "and ends." for i in range(4)]
+    article = "<div><div>" + "".join(f"<p>{p}</p>" for p in long) + "</div></div>"
+    items = "".join(f"<li>Item {i}</li>" for i in range(40))
+    cells = "".join(f"<tr><td>{i}</td><td>cell {i}</td></tr>" for i in range(40))
+    side = "<div><p>Some words at the side that are longer than a tenth of nothing.</p></div>"
+    for page in (f"<body><ul>{items}</ul>{article}</body>", f"<body>{article}<table>{cells}</table></body>", f"<body>{article}{side}{side}{side}</body>"):
+        assert html_text.main_text(page).split("\n") == [p.strip() for p in long]
+
+
 def test_odd_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == ""
     assert html_text.main_text("just text &lt; here") == "just text < here"
