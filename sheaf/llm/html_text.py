@@ -40,12 +40,20 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 #: Words of class and id attributes, and roles, that mark what isn't the article.
-CLUTTER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|popover|modal|overlay|newsletter|subscri\w*|signup|sign-up|menu\w*|nav|navbar|"
-    r"navigation|breadcrumbs?|sidebar\w*|side-bar|footer|masthead|topbar|site-header|page-header|comments?|commentlist|comment-\w+|disqus\w*|respond|replies|discussion|share|sharing|social\w*|"
-    r"related|recommend\w*|widgets?|pagination|pager|paging|toolbar|skip-link|login|search\w*|alert|toc)(?:$|[\s_-])",
-    re.I,
+_WORDS = (
+    r"ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|popover|modal|overlay|newsletter|subscri\w*|signup|menu\w*|nav|navbar|"
+    r"navigation|breadcrumbs?|sidebar\w*|footer|masthead|topbar|comments?|commentlist|disqus\w*|respond|replies|discussion|share|sharing|social\w*|"
+    r"related|recommend\w*|widgets?|pagination|pager|paging|toolbar|login|search\w*|alert|toc|sign[_-]up|side[_-]bar|(?:site|page)[_-]header|skip[_-]link"
 )
+#: Words that such words are combined with, for their place or form. Other words make it another thing.
+_PLACES = (
+    r"site|page|main|left|right|top|bottom|primary|secondary|global|mobile|area|bar|block|box|button|buttons|container|form|group|icons?|inner|items?|links?|list|outer|panel|"
+    r"posts?|articles?|section|text|title|widget|wrap|wrapper|message|center|unit|slot|[0-9]+"
+)
+#: A whole name; one of the layout (has-sidebar, with-comments, page-with-toc) speaks of other nodes.
+CLUTTER = re.compile(rf"(?:(?:{_PLACES})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_PLACES}))*", re.I)
+LARGE, LARGE_COMMENTS = 0.5, 0.9  # shares of a page's text, above which names don't make a node clutter
+TEXTUAL = set("h1 h2 h3 h4 h5 h6 p pre blockquote".split())  # names of these are anchors and styles
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus\w*|replies|reply)(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|[^<]+|<", re.S)
@@ -54,7 +62,7 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "marks", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "size", "holds")
 
     def __init__(self, tag: str, up: Node | None, marks: dict[str, str] | None = None) -> None:
         self.tag, self.up, self.marks = tag, up, marks or {}
@@ -119,26 +127,59 @@ def parse(page: str) -> Node:
     return root
 
 
-def clutter(node: Node, inside: bool) -> bool:
-    """Whether a node can't be part of the article; inside: it is within an article or main element."""
-    if node.tag in NEVER:
-        return True
+def clutter(node: Node, inside: bool, size: int, elsewhere: bool) -> bool:
+    """Whether a node can't be part of the article; inside: it is within an article or main element; size: of the page's
+    text; elsewhere: the page has such elements, so what is outside of them isn't the article, however large."""
     said = f"{node.marks.get('class', '')} {node.marks.get('id', '')}"
+    if node.tag in NEVER and not (node.tag == "form" and (node.holds or node.size > LARGE * size)):
+        return True
     if node.tag in ("html", "body", "main", "article"):
-        return node.tag == "article" and bool(COMMENTS.search(said))
+        return node.tag == "article" and clutter_article(node)
     if node.tag == "header" and not inside:
         return True
     hidden = "hidden" in node.marks or node.marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", node.marks.get("style", ""))
-    return bool(hidden) or node.marks.get("role", "").lower() in ROLES or len(said) > 1 and bool(CLUTTER.search(said))
+    if hidden or node.marks.get("role", "").lower() in ROLES:
+        return True
+    if len(said) < 2 or node.holds or node.tag in TEXTUAL:
+        return False
+    names = node.marks.get("class", "") if inside and node.tag == "section" else said  # a section's id is where contents lead to
+    small = node.size <= (LARGE_COMMENTS if COMMENTS.search(said) else LARGE) * size
+    return (small or elsewhere and not inside) and any(CLUTTER.fullmatch(n) for n in names.split())
+
+
+def weigh(root: Node) -> bool:
+    """Gives every node its size, characters of text, and whether it holds the page's title or article. Whether the page has
+    an article or main element."""
+    nodes = [root]
+    for node in nodes:
+        nodes += [k for k in node.kids if not isinstance(k, str)]
+    for node in reversed(nodes):
+        node.size, node.holds = 0, node.tag in ("h1", "main") or node.tag == "article" and not clutter_article(node)
+        if node.tag in NEVER and node.tag != "form":
+            node.holds = False
+            continue
+        for k in node.kids:
+            if isinstance(k, str):
+                node.size += len(SPACES.sub(" ", k).strip())
+            else:
+                node.size += k.size
+                node.holds = node.holds or k.holds
+    return any(n.holds and n.tag in ("article", "main") for n in nodes)
+
+
+def clutter_article(node: Node) -> bool:
+    """Whether an article element is a comment."""
+    return bool(COMMENTS.search(f"{node.marks.get('class', '')} {node.marks.get('id', '')}"))
 
 
 def prune(root: Node) -> None:
     """Takes clutter out of the tree."""
+    elsewhere = weigh(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main") or node.marks.get("role") == "main"
-        node.kids = [k for k in node.kids if isinstance(k, str) or not clutter(k, inside)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not clutter(k, inside, root.size, elsewhere)]
         todo += [(k, inside) for k in node.kids if not isinstance(k, str)]
 
 

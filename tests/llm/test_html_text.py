@@ -29,6 +29,16 @@ def test_pages_without_links():
         assert html_text.main_text(page).split("\n") == [p.strip() for p in long]
 
 
+def test_names_are_no_verdict():
+    text = "A paragraph of the article, of some length, so that it is the main text of the page and not what is around it."
+    for name in ("content has-sidebar", "no-sidebar", "with-comments", "page-with-toc", "widget"):
+        assert html_text.main_text(f"<body><div class='{name}'><div><p>{text}</p><p>{text}</p></div></div><div class=footer>Foot</div></body>").split("\n") == [text] * 2
+    inner = f"<h1>T</h1><p class='notice'>{text}</p><h2 id='related-work'>Work</h2><section id='discussion'><p>{text}</p></section><div class='cookie-notice'>Cookies</div>"
+    assert html_text.main_text(f"<body><article>{inner}<div class='share-buttons'>Share</div></article></body>").split("\n") == ["T", text, "Work", text]
+    assert html_text.main_text(f"<body><form id=f><nav>One</nav><div><p>{text}</p><p>{text}</p></div><form><button>Go</button></form></form></body>").split("\n") == [text] * 2
+    assert html_text.main_text(f"<body><p>{text}</p><div id='comments'><article class='comment'>{text * 3}</article></div></body>") == text
+
+
 def test_odd_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == ""
     assert html_text.main_text("just text &lt; here") == "just text < here"
