@@ -4,7 +4,7 @@ Documents of equal shingle sets form a class; classes are what is compared. Each
 all classes by a permutation of their signatures. Candidates are neighbours in an order that share at least the
 shallowest prefix, those of most agreeing hashes first, so the depth adapts to how crowded a region is. Candidates are
 confirmed on full shingle sets, in rounds: each class meets its best neighbour of every order, then the next best ones
-of other components, until rounds confirm no link. At last classes meet the most linked members of components near
+of other components, until the lists are used up. At last classes meet the most linked members of components near
 them: in a group of many copies, a class may be similar enough to the one that all were made from, and to no other.
 """
 
@@ -25,8 +25,7 @@ HASHES = 64  # of a signature
 TREES = 24
 LEAST = 3  # hashes, whole, that candidates share at least; of the others a tree's key holds a byte each
 WIDTH = 48  # neighbours on either side that are looked at in each tree
-LISTED = 24  # of these that are listed for each class and tree, by agreeing hashes; a round takes one of each list
-PATIENCE = 3  # rounds without a new link before the search ends
+LISTED = 24  # of these that are listed for each class and tree, by agreeing hashes; a round takes one of each list, or twice as many as one that found no link
 LEAST_EQUAL = 37  # of HASHES; at a similarity of 0.8 fewer are equal once in 500,000 pairs
 HUBS = 8  # most linked members of a component that classes near it meet at last
 
@@ -325,24 +324,23 @@ def near_duplicates(df: DataFrame, col: str = "text", doc_id: str = "doc_id", si
     comps = busy.select("id", F.col("id").alias("comp"))
     with bucketed(sets, "id") as sets:
         links = tried = None
-        place = idle = 0
-        while idle < PATIENCE and place < LISTED:
-            pairs = lists.where(F.size("near") > place).select("a", F.get("near", F.lit(place)).alias("b"))
+        place, step = 0, 1
+        while place < LISTED:
+            pairs = lists.where(F.size("near") > place).select("a", F.explode(F.slice("near", place + 1, step)).alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if links is not None:  # links within a component are of no use
                 of = lambda k: comps.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
                 pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
             pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-            place += 1
+            place += step
+            step *= 2
             if pairs.isEmpty():
-                idle += 1
                 continue
             tried = pairs if tried is None else tried.union(pairs)
             new = _confirm(pairs, sets, percent)
             if new.isEmpty():
-                idle += 1
                 continue
-            idle = 0
+            step = 1
             links = new if links is None else links.union(new)
             comps = _merge(comps, new)
         if links is not None:

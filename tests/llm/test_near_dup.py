@@ -57,6 +57,30 @@ def test_dense_group(make_docs):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_late_candidates_are_confirmed(spark, make_docs, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = [base, ["new", *base[1:]]]
+    for k in range(12):  # near misses of both, no two of which are linked
+        texts.append([f"x{k}" if i in at else w for at in [set(rng.sample(range(300), 10))] for i, w in enumerate(base)])
+    docs = make_docs([" ".join(t) for t in texts])
+    signed = near_dup.add_signatures(docs.where("doc_id < 2"), "text", 5)
+    ids = [r["id"] for r in signed.select(near_dup.F.xxhash64("digest").alias("id")).collect()]
+    real = near_dup._candidates
+
+    def worst_first(rows):
+        F = near_dup.F
+        pair = F.array(*(F.lit(i) for i in ids))
+        all_ = real(rows).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        lists = near_dup.settle(all_.select("a", F.concat(F.array_except("near", pair), F.array_intersect("near", pair)).alias("near")))
+        assert lists.where(F.col("a").isin(ids)).select(F.min(F.size("near"))).first()[0] > 5
+        return lists
+
+    monkeypatch.setattr(near_dup, "_candidates", worst_first)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: max(0, i - (i == 1)) for i in range(14)}
+
+
 def test_query_on_a_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.op10_minhash_dedup(spark, sf_dir).collect()
