@@ -304,7 +304,7 @@ _on("number_text", "part", lambda df: df.select("p_partkey", coerce.format_numbe
 _on("round_half_up", "lineitem", lambda df: df.select("l_orderkey", "l_linenumber", coerce.round_half_up(F.col("l_quantity") / 4 - 5).cast("double").alias("r")), "select l_orderkey, l_linenumber, floor(l_quantity / 4 - 5 + 0.5)::double as r from lineitem")
 _on("xml_encode", "part", lambda df: df.select("p_partkey", text.xml_encode(F.concat(F.lit("<&"), F.col("p_name"))).alias("x")), "select p_partkey, '&lt;&amp;' || p_name as x from part")
 _on("glob_match", "part", lambda df: df.where(text.glob_match(F.col("p_brand"), "Brand#[12]{1,3}")).select("p_partkey"), "select p_partkey from part where regexp_matches(p_brand, '^Brand#[12](1|3)$')")
-_on("crc32", "documents", lambda df: df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"), F.base64(F.substring("text", 1, 12).cast("binary")).alias("b")), None)
+_on("crc32", "documents", lambda df: df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"), F.base64(F.col("text").cast("binary")).alias("b")), None)
 _on("checksums", "documents", lambda df: df.select("doc_id", text.adler32(F.col("text").cast("binary")).alias("adler"), F.round(text.entropy(F.col("text").cast("binary")), 4).alias("entropy")), None)
 _on("cell_format", "lineitem", lambda df: df.select("l_orderkey", "l_linenumber", cellformat.format_column(F.col("l_extendedprice"), "#,##0.00;(#,##0.00)").alias("v")), "select l_orderkey, l_linenumber, format('{:,.2f}', round(l_extendedprice, 2)) as v from lineitem")
 

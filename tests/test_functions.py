@@ -88,3 +88,13 @@ def test_addresses(spark):
     assert r.intersects(address.Range.of("D9")) and not r.intersects(address.Range.of("E1:F20")) and str(r.expand(1, 5)) == "B1:E9"
     assert address.slide_formula("A1+$B$2+C$3*SUM(D4)", 1, 1) == "B2+$B$2+D$3*SUM(E5)"
     assert one(spark, address.dependencies, "SUM(A1:B2)+C3") == ["A1:B2", "C3"]
+
+
+def test_base64_of_whole_texts(spark, sf_dir):
+    import base64
+
+    from sheaf import catalogue
+
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    for r in catalogue.queries()["crc32"](spark, sf_dir).collect():
+        assert base64.b64decode(r["b"]).decode() == texts[r["doc_id"]]
