@@ -1,17 +1,20 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
-Features are densities of a lexicon of insults (plain, and after undoing obfuscation), their nearness to second-person
-words, and rates of capitals, punctuation and obfuscation; nothing else of a row is used. The trees are fitted on
-the driver over a bounded sample of labelled rows, their out-of-fold scores give the isotonic map.
+Features are densities of two lexicons (a fixed one of insults, plain and after undoing obfuscation, and one learnt from
+the labelled texts), nearness to second-person words, and rates of capitals, punctuation and obfuscation; nothing else of
+a row is used. The trees are fitted on the driver over a bounded sample of labelled rows. A text's learnt features come
+from the words of the other folds' texts while training, and out-of-fold scores give the isotonic map.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,7 @@ pathetic peasant pest pig poop prick psycho puke racist rat repulsive retard ret
 scum scumbag shit shitty shithead sicko sleazy slime slob slut smelly snob sordid spineless stink stupid suck swine
 terrorist thug traitor tramp trash twat twit ugly useless vermin vile wanker weasel weirdo whore wimp worm worthless
 wretch wretched
-abruti connard connasse con crétin débile enculé imbécile merde minable ordure salaud salope
+abruti connard connasse crétin débile enculé imbécile merde minable ordure salaud salope
 arschloch blödmann depp dreck dumm dummkopf hurensohn mistkerl scheiße schwein trottel versager
 basura cabrón estúpido gilipollas idiota imbécil inútil mierda pendejo puta
 """.split()
@@ -42,10 +45,15 @@ TERMS = frozenset(LEXICON) | frozenset(w + "s" for w in LEXICON)
 LETTERS = re.compile(r"[^\W\d_]+")
 SIGNS = ".,;:?!\"'()[]{}<>#%&*$|/\\-_=+~^`"
 NEAR = 5  # words between an insult and the one it is aimed at
+FOLDS = 5
+#: A word is learnt if so many toxic texts of the sample hold it, and so many standard deviations more than would by chance.
+LEAST_TEXTS, LEAST_DEVIATIONS = 3, 4.0
+LEARNT = 10_000  # words of the learnt lexicon at most, those of most toxic texts
 
 NAMES = (
     "log_words", "hit_density", "log_hits", "distinct_hits", "hidden_density", "log_hidden", "you_density", "near_you", "nearest_you", "capitals",
     "upper_words", "exclaims", "questions", "punctuation", "mark_runs", "digits", "odd_words", "spaced", "stretched", "word_length", "non_ascii",
+    "learnt_density", "learnt_distinct", "learnt_weight", "learnt_top", "near_learnt",
 )
 
 
@@ -80,12 +88,27 @@ def _spaced(words: list[str]) -> int:
     return found
 
 
-def features(text: str | None) -> list[float]:
-    """The features NAMES of one whole text; null counts as empty."""
+def plain_words(text: str | None) -> list[str]:
+    """The lower-case words of a text without signs at their ends."""
+    return [w.strip(SIGNS) for w in (text or "").lower().split()]
+
+
+def _learnt(words: list[str], yous: list[int], lexicon: Mapping[str, float]) -> tuple[float, ...]:
+    """Density of learnt words, distinct ones, the sum and largest of their weights, and those near a second-person word."""
+    hits = [(i, w) for i, w in enumerate(words) if w in lexicon]
+    if not hits:
+        return 0.0, 0.0, 0.0, 0.0, 0.0
+    weights = [lexicon[w] for w in {w for _, w in hits}]
+    near = sum(any(abs(i - yous[j]) <= NEAR for j in (k - 1, k) if 0 <= j < len(yous)) for (i, _), k in zip(hits, np.searchsorted(yous, [i for i, _ in hits]), strict=True)) if yous else 0
+    return len(hits) / len(words), len(weights), sum(weights), max(weights), near
+
+
+def features(text: str | None, lexicon: Mapping[str, float] | None = None) -> list[float]:
+    """The features NAMES of one whole text, given weights of learnt words; null counts as empty."""
     text = text or ""
     low = text.lower()
     tokens = text.split()
-    words = [w.strip(SIGNS) for w in low.split()]
+    words = plain_words(text)
     n, chars = max(1, len(words)), max(1, len(text))
     hits = [i for i, w in enumerate(words) if w in TERMS]
     odd = [i for i, w in enumerate(words) if not w.isalpha() and len(w) > 1]
@@ -120,6 +143,7 @@ def features(text: str | None) -> list[float]:
             capitals / chars, sum(map(str.isupper, tokens)) / n, marks[33] / chars, marks[63] / chars,
             (marks[33:48].sum() + marks[58:65].sum() + marks[91:97].sum() + marks[123:127].sum()) / chars, sum(map(text.count, ("!!", "??", "!?"))) / n, marks[48:58].sum() / chars,
             len(odd) / n, spaced, stretched / n, chars / n, marks[128] / chars,
+            *_learnt(words, yous, lexicon or {}),
         )
     ]
 
@@ -206,6 +230,7 @@ class Model:
     knots: np.ndarray
     means: np.ndarray
     base: float
+    lexicon: dict[str, float] = field(default_factory=dict)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated scores; a thousandth of the uncalibrated ones orders those that the isotonic map ties."""
@@ -215,25 +240,37 @@ class Model:
         return np.clip(0.999 * np.interp(p, self.knots, self.means) + 0.001 * p, 0.0, 1.0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, folds: int = 5) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None) -> Model:
     """Trees over all rows, isotonic map over out-of-fold scores. Without both classes: the constant share of ones."""
-    if len(y) < 2 * folds or not 0 < y.sum() < len(y):
+    if len(y) < 2 * FOLDS or not 0 < y.sum() < len(y):
         return Model(None, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    fold = np.arange(len(y)) % folds
+    fold = np.arange(len(y)) % FOLDS if fold is None else fold
     out = np.zeros(len(y))
-    for k in range(folds):
+    for k in range(FOLDS):
         out[fold == k] = sigmoid(fit_trees(x[fold != k], y[fold != k]).raw(x[fold == k]))
     knots, means = isotonic(out, y)
     return Model(fit_trees(x, y), knots, means, float(y.mean()))
 
 
 FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType(), False), False)])
+WORDS = T.StructType([T.StructField("fold", T.IntegerType(), False), T.StructField("words", T.ArrayType(T.StringType(), False), False)])
 SCORE = T.StructType([T.StructField("score", T.DoubleType(), False)])
 
 
-def add_features(df: DataFrame, col: str = "text") -> DataFrame:
-    """df with features, the array of NAMES for each text."""
-    return map_column(df, col, FEATURES, lambda: lambda texts: ([features(t) for t in texts],))
+def fold_of(text: str | None) -> int:
+    """Equal texts are in one fold."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def add_features(df: DataFrame, col: str = "text", lexicons: list[dict[str, float]] | None = None) -> DataFrame:
+    """df with features, the array of NAMES for each text; lexicons has the learnt words for texts of each fold."""
+    held = df.sparkSession.sparkContext.broadcast(lexicons)
+
+    def make():
+        by_fold = held.value
+        return lambda texts: ([features(t, by_fold[fold_of(t)] if by_fold else None) for t in texts],)
+
+    return map_column(df, col, FEATURES, make)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -241,19 +278,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def weigh(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> dict[str, float]:
+    """Weights of the words that toxic texts hold more often than by chance: their log odds, shrunk for rare words.
+
+    toxic and clean have the numbers of texts that hold each word, of n_toxic and n_clean in all.
+    """
+    if not n_toxic or not n_clean:
+        return {}
+    share = n_toxic / (n_toxic + n_clean)
+    chance = (toxic + clean) * share
+    sure = (toxic >= LEAST_TEXTS) & (toxic - chance >= LEAST_DEVIATIONS * np.sqrt(chance * (1 - share)))
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    weight = odds * toxic / (toxic + LEAST_TEXTS)
+    return {words[i]: float(weight[i]) for i in np.flatnonzero(sure)}
+
+
+def learn_words(texts: DataFrame, col: str = "__text", label: str = "__y") -> tuple[dict[str, float], list[dict[str, float]]]:
+    """The lexicon learnt from all of the labelled texts, and for each fold that learnt from the other folds.
+
+    The driver gets the at most LEARNT words that most toxic texts hold and that are more frequent there than elsewhere.
+    """
+
+    def make():
+        return lambda texts: ([fold_of(t) for t in texts], [sorted(set(plain_words(t)) - {""}) for t in texts])
+
+    rows = map_column(texts.select(col, label), col, WORDS, make).drop(col)
+    sides = [(F.col(label) == y) & (F.col("fold") == k) for k in range(FOLDS) for y in (1, 0)]
+    counts = [F.count(F.when(w, 1)).alias(f"c{i}") for i, w in enumerate(sides)]
+    totals = np.array(rows.agg(*counts).first(), dtype=float).reshape(FOLDS, 2)
+    toxic, clean = (sum(F.col(f"c{i}") for i in range(y, 2 * FOLDS, 2)) for y in (0, 1))
+    n_toxic, n_clean = totals.sum(axis=0)
+    likely = (toxic >= LEAST_TEXTS) & (toxic * F.lit(float(n_clean)) > clean * F.lit(float(n_toxic)))
+    found = rows.select(label, "fold", F.explode("words").alias("word")).groupBy("word").agg(*counts).where(likely)
+    found = found.orderBy(toxic.desc(), "word").limit(LEARNT).collect()
+    words = [r["word"] for r in found]
+    by_fold = np.array([[r[f"c{i}"] for i in range(2 * FOLDS)] for r in found], dtype=float).reshape(-1, FOLDS, 2)
+    every = by_fold.sum(axis=1)
+    others = [weigh(words, *(every - by_fold[:, k]).T, *(totals.sum(axis=0) - totals[k])) for k in range(FOLDS)]
+    return weigh(words, *every.T, n_toxic, n_clean), others
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, col: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """A model from at most sample labelled rows, those of the lowest hash of the id, none of them held out.
 
     Rows with a null id or label do not count; of an id with several labels the largest holds; documents that share
-    an id all count. sample bounds what the driver and the broadcast hold.
+    an id all count, equal texts once (toxic, if one of them is). sample bounds what the driver and the broadcast hold.
     """
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("double").alias("__y"))
+    known = labels.where(F.col(q(doc_id)).isNotNull() & F.col(q(label)).isNotNull() & ~held_out(F.col(q(doc_id))))
+    known = known.groupBy(F.col(q(doc_id)).alias("__id")).agg(F.max(F.col(q(label))).cast("double").alias("__y"))
     chosen = settle(known.orderBy(F.xxhash64("__id"), "__id").limit(sample))  # fixed bound: broadcast below
     texts = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = add_features(texts, "__text").select("__id", "__y", F.xxhash64("__text").alias("__h"), "features").orderBy(F.xxhash64("__id"), "__id", "__h").limit(sample).collect()
+    texts = settle(texts.groupBy("__text").agg(F.max("__y").alias("__y"), F.min(F.xxhash64("__id")).alias("__h")))
+    lexicon, others = learn_words(texts)
+    with_fold = map_column(texts, "__text", WORDS, lambda: lambda t: ([fold_of(x) for x in t], [[] for _ in t])).drop("words")
+    rows = add_features(with_fold, "__text", others).select("__y", "fold", "__h", F.xxhash64("__text").alias("__t"), "features")
+    rows = rows.orderBy("__h", "__t").limit(sample).collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(NAMES))
-    return fit(x, np.array([r["__y"] for r in rows]))
+    model = fit(x, np.array([r["__y"] for r in rows]), np.array([r["fold"] for r in rows]))
+    model.lexicon = lexicon
+    return model
 
 
 def score(df: DataFrame, model: Model, col: str = "text") -> DataFrame:
@@ -263,7 +346,7 @@ def score(df: DataFrame, model: Model, col: str = "text") -> DataFrame:
 
     def make():
         one = broadcast.value
-        return lambda texts: (pa.array(one.score(np.array([features(t) for t in texts]).reshape(-1, len(NAMES)))),)
+        return lambda texts: (pa.array(one.score(np.array([features(t, one.lexicon) for t in texts]).reshape(-1, len(NAMES)))),)
 
     rest = df.select(*(F.col(q(c)) for c in without(df, ["score", "predicted"])))
     return map_column(rest, col, SCORE, make).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
