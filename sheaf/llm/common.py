@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 #: Rows and characters that one call of a text function sees at most (a single longer text goes alone).
 CHUNK_ROWS, CHUNK_CHARS = 512, 1_000_000
 
-#: Bits of an id filter: a fixed size, 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of an id filter: 16 for each id, at most 2^28 (32 MB); from some 10^8 ids on it passes more and more others.
+FILTER_BITS = 1 << 28
 
 #: White space and words as the contracts define them: ASCII space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,41 +51,81 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def settle(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and rows stay as they are
-    if executors are lost. The files go when the driver ends."""
+    if executors are lost. The files go when the table is released, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheaf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _settled[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    found._sheaf_path = path  # noqa: SLF001
+    return found
+
+
+#: Paths of settled tables that are still there.
+_settled: dict[str, SparkSession] = {}
+
+
+def release(*tables: DataFrame, collect: bool = False) -> None:
+    """Deletes the files of settled tables that nothing reads any more. collect: has the driver drop the shuffle files of
+    finished queries too, which otherwise stay until its heap happens to be collected."""
+    for df in tables:
+        path = getattr(df, "_sheaf_path", None)
+        if path in _settled:
+            _remove(_settled.pop(path), path)
+    if collect and tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+@atexit.register
+def _release_all() -> None:
+    while _settled:
+        path, spark = _settled.popitem()
+        _remove(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like names that df has not, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def id_filter(ids: DataFrame, name: str) -> Callable[[Column], Column]:
-    """A test that is true for every id in a column, and for few others while they are few: a hash filter of fixed size,
-    gathered as at most FILTER_BITS / 64 words. What passes it still has to be joined."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    """A test that is true for every id in a column, and for few others: a hash filter of 16 bits for each id, FILTER_BITS at
+    most, gathered as words of 64. What passes it still has to be joined, or must do no harm."""
+    n = ids.agg(F.count(F.col(name))).first()[0]
+    size = min(FILTER_BITS, 1 << max(16, int(16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     at = ids.select(place(F.col(name)).alias("p"))
-    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words:
-        bits[r["w"]] = r["bits"]
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).where("w is not null").toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     held = ids.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def hit(p):  # noqa: ANN001, ANN202
-        at = p.to_numpy()
-        return type(p)((held.value[at // 64] >> (at % 64)) & 1 == 1)
+        at = p.fillna(0).to_numpy().astype(np.int64)
+        return type(p)(((held.value[at // 64] >> (at % 64)) & 1 == 1) & p.notna().to_numpy())
 
-    return lambda c: hit(place(c))
+    return lambda c: hit(F.when(c.isNotNull(), place(c)))
 
 
 @contextmanager
-def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """df as a table in the shared folder, in buckets by key: joins on key don't shuffle it. It goes at the end."""
+def bucketed(df: DataFrame, key: str, unique: bool = False) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, in buckets by key: joins on key don't shuffle it. It goes at the end. unique: one
+    row for each key."""
     spark = df.sparkSession
     name = f"sheaf_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    dealt = df.repartition(n, key)
+    dealt = dealt.dropDuplicates([key]) if unique else dealt
+    dealt.write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
     atexit.register(_remove, spark, path)
     try:
         yield spark.table(name)

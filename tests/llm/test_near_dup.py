@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sheaf.llm import near_dup, queries
 
 
@@ -57,28 +59,34 @@ def test_dense_group(make_docs):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: c for i, (_, c) in want.items()}
 
 
-def test_late_candidates_are_confirmed(spark, make_docs, monkeypatch):
-    rng = random.Random(7)
-    base = [f"w{i}" for i in range(300)]
-    texts = [base, ["new", *base[1:]]]
-    for k in range(12):  # near misses of both, no two of which are linked
-        texts.append([f"x{k}" if i in at else w for at in [set(rng.sample(range(300), 10))] for i, w in enumerate(base)])
-    docs = make_docs([" ".join(t) for t in texts])
-    signed = near_dup.add_signatures(docs.where("doc_id < 2"), "text", 5)
-    ids = [r["id"] for r in signed.select(near_dup.F.xxhash64("digest").alias("id")).collect()]
-    real = near_dup._candidates
-
-    def worst_first(rows):
-        F = near_dup.F
-        pair = F.array(*(F.lit(i) for i in ids))
-        all_ = real(rows).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        lists = near_dup.settle(all_.select("a", F.concat(F.array_except("near", pair), F.array_intersect("near", pair)).alias("near")))
-        assert lists.where(F.col("a").isin(ids)).select(F.min(F.size("near"))).first()[0] > 5
-        return lists
-
-    monkeypatch.setattr(near_dup, "_candidates", worst_first)
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
-    assert got == {i: max(0, i - (i == 1)) for i in range(14)}
+def test_crowded_regions_are_compared_completely(spark, make_docs, monkeypatch):
+    """Hundreds of copies whose changes leave most pairs just below the threshold, and far more of them than a region lists."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(57)]
+        for _ in range(220):
+            words = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                words[rng.randrange(57)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(base)))
+    monkeypatch.setattr(near_dup, "REGION", 8)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 50)
+    seen = []
+    real = near_dup._in_blocks
+    monkeypatch.setattr(near_dup, "_in_blocks", lambda *a: seen.append(1) or real(*a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(make_docs([(i, t, "s") for i, t in rows]), size=4).collect()}
+    want = {i: c for i, (_, c) in plain(rows, 4, 80).items()}
+    assert seen and len(set(want.values())) > 20 and got == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    got = near_dup.common_counts(sets[:12], sets[12:], width=7)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[12:]] for x in sets[:12]]
+    assert near_dup.common_counts(sets[:2], []).shape == (2, 0)
 
 
 def test_query_on_a_table(spark, sf_dir):
@@ -87,6 +95,16 @@ def test_query_on_a_table(spark, sf_dir):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 4, 80)
 
 
+def test_one_of_each_keeps_one_row(spark, make_docs):
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "t"), (1, "a b c d e f", "t"), (2, "A B c d e f", "s"), (3, "other words", "s"), (3, "else", "s"), (4, None, "s"), (4, None, "s"), (None, "a b c d e f", "s"), (None, "a b c d e f", "s")]
+    docs = make_docs(rows).selectExpr("*", "'x' as key", "'y' as GONE")
+    got = near_dup.one_of_each(docs, near_dup.near_duplicates(docs))
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0) for r in got.collect())) == [0, 0, 1, 3, 4]
+    again = near_dup.one_of_each(docs.orderBy("source", ascending=False), near_dup.near_duplicates(docs))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (200, 201)]
     got = {r["id"]: r["comp"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -98,7 +116,7 @@ def test_odd_rows(odd_docs, make_docs):
     rows = got.collect()
     assert len(rows) == 8
     assert all(r["component_id"] == r["doc_id"] for r in rows if r["doc_id"] is not None) and all(r["kept"] for r in rows)
-    assert near_dup.one_of_each(odd_docs, got).count() == 8
+    assert [r["doc_id"] for r in near_dup.one_of_each(odd_docs, got).orderBy("doc_id").collect()] == [None, 1, 2, 3, 4, 5, 6]
     assert near_dup.near_duplicates(odd_docs.limit(0)).count() == 0
     # an id with two texts ties their components
     tied = make_docs([(7, "a b c d e f", "s"), (7, "u v w x y z", "s"), (9, "u v w x y z", "s")])
