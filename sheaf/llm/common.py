@@ -65,16 +65,16 @@ def settle(df: DataFrame) -> DataFrame:
 _settled: dict[str, SparkSession] = {}
 
 
-def release(*tables: DataFrame, collect: bool = False) -> None:
-    """Deletes the files of settled tables that nothing reads any more. collect: has the driver drop the shuffle files of
-    finished queries too, which otherwise stay until its heap happens to be collected."""
+def release(*tables: DataFrame, collect: bool | SparkSession = False) -> None:
+    """Deletes the files of settled tables that nothing reads any more. collect (true, or a session): has the driver drop
+    the shuffle files of finished queries too, which otherwise stay until its heap happens to be collected."""
     for df in tables:
         path = getattr(df, "_sheaf_path", None)
         if path in _settled:
             _remove(_settled.pop(path), path)
-    if collect and tables:
+    if collect:
         gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        (tables[0].sparkSession if collect is True else collect)._jvm.System.gc()
 
 
 @atexit.register

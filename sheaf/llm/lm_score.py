@@ -1,35 +1,37 @@
 """Language-model scores by cross-entropy difference.
 
-Two bigram models, of target documents and of the background (all documents), share one vocabulary, one smoothing and
-one set of kept bigrams. A document's score is the mean over its tokens of the target's loss less the background's:
-lower means nearer to the target.
-
-Every word that all documents have LEAST times is in the vocabulary, and every bigram of that count is kept, so the
-models grow with the corpus. They are tables by a 64-bit hash of the word or bigram, which each document's distinct
-words and bigrams are joined to. Only the most frequent entries, of which shares bound the number, are broadcast
-instead of joined: no key of the join is in more than a small share of the rows.
+Two bigram models, of target documents and of the background (by default all documents), share one vocabulary and one
+smoothing. A document's score is the mean over its tokens of the target's loss less the background's: lower means nearer
+to the target. Every word and every bigram counts, however rare, so the models grow with the corpus.
+
+The probability of a word after another one (or a document's start) is MIX parts of its share of what followed there,
+and the rest of the words' own shares, counts increased by one and one more entry for unseen words; after a word that the
+model never saw, the words' own shares alone. It sums to one over words, the unseen entry and the end.
+
+The models are never in one place. Documents are dealt into batches; each sends its distinct words and bigrams, as sorted
+64-bit hashes with their counts, to the range of hashes that they fall in, and gets the totals back in the same order. A
+key is in a batch once, so frequent words and bigrams are no more work for a range than rare ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import id_filter, q, settle, without
+from sheaf.llm.common import fresh, id_filter, q, release, settle, without
 
-WORD_SHARE = 1e-5  # of all tokens; words from this share on, at most 100,000, are broadcast
-PAIR_SHARE = 2e-6  # of all tokens; bigrams from this share on, at most 500,000, are broadcast
-LEAST = 2  # occurrences of words in the vocabulary and of kept bigrams, at any size
-HELD = 2_000_000  # tokens that a task holds before it emits their counts
 MIX = 0.7  # weight of the bigram estimate
+BATCH_CHARS, BATCH_ROWS = 6_000_000, 50_000  # of a batch, unless one text is longer
+RANGE_CHARS = 12_000_000  # of all texts for each range of hashes
+START = np.uint64(2)  # stands before a document's first word
 
 
 def words(text: str | None) -> list[bytes]:
@@ -37,241 +39,216 @@ def words(text: str | None) -> list[bytes]:
 
 
 def encode(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens; 0 is none of them, it stands for words out of the vocabulary and a document's start."""
+    """Even hashes of a text's tokens."""
     digest = xxhash.xxh3_64_intdigest
-    got = np.array([digest(w) for w in words(text)], dtype=np.uint64).view(np.int64)
-    got[got == 0] = 1
-    return got
+    return np.array([digest(w) for w in words(text)], dtype=np.uint64) & ~np.uint64(1)
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of bigrams of two tokens each."""
-    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    """Odd hashes of bigrams of two tokens each."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))).view(np.int64)
+    return (h ^ (h >> np.uint64(31))) | np.uint64(1)
 
 
-def _counted(df: DataFrame, count: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
-    """Partial counts of df's texts: count() gets the non-empty encoded texts of a part and gives columns."""
-    names = [f.split()[0] for f in schema.split(", ")]
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, the words before them or START, number of words of each text), the texts one after another."""
+    parts = [encode(t) for t in texts]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    cur = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    prev = np.concatenate([[START], cur[:-1]]) if len(cur) else cur
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    prev[starts] = START
+    return cur, prev, sizes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def put() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in count(held)]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
+def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the texts' words, bigrams and starts, and how often each occurs."""
+    cur, prev, sizes = tokens(texts)
+    return np.unique(np.concatenate([cur, np.full(int((sizes > 0).sum()), START), pair_keys(prev, cur)]), return_counts=True)
 
-        total = 0
-        for batch in batches:
-            for text in batch["text"]:
-                got = encode(text.as_py())
-                if len(got):
-                    held.append(got)
-                    total += len(got)
-                if total > HELD:
-                    yield put()
-                    total = 0
-        if held:
-            yield put()
 
-    return df.select("text").mapInArrow(run, schema)
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers with all first bytes first, then all second ones: what is small compresses well."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _word_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """(key, c, starts, lasts, before, after): occurrences, those at a text's ends, and one occurrence's neighbours."""
-    tokens = np.concatenate(texts)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = np.append(0, ends[:-1])
-    before, after = np.append(0, tokens[:-1]), np.append(tokens[1:], 0)
-    before[starts] = after[ends - 1] = 0
-    keys, one, place, c = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
-    at = lambda i: np.bincount(place[i], minlength=len(keys))
-    return [keys, c, at(starts), at(ends - 1), before[one], after[one]]
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-def _pair_counts(texts: list[np.ndarray]) -> list[np.ndarray]:
-    return list(np.unique(np.concatenate([pair_keys(t[:-1], t[1:]) for t in texts]), return_counts=True))
+def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of the equal ranges of hashes begins among sorted keys, and the end."""
+    borders = np.array([i * 2**64 // ranges for i in range(1, ranges)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]]).astype(np.int64)
 
 
-def count_words(background: DataFrame, target: DataFrame) -> DataFrame:
-    """(key, n, t, fn, ft, zn, zt, bn, bt) of each word: occurrences in all texts and in target ones, those with a next
-    word, those after a word out of the vocabulary or at the start, and those before one out of the vocabulary.
+PART = "part int, batch long, keys binary, base binary, target binary"
 
-    Words out of the vocabulary occur once in all texts, so their neighbours are known from the counting.
-    """
-    schema = "key long, c long, starts long, lasts long, before long, after long"
-    zero = F.lit(0).cast("long")
-    base, aim = _counted(background, _word_counts, schema), _counted(target, _word_counts, schema)
-    side = lambda c, first: (F.col(c).alias(f"n{c}"), zero.alias(f"t{c}")) if first else (zero.alias(f"n{c}"), F.col(c).alias(f"t{c}"))
-    near = lambda first: [(F.col(c) if first else F.lit(None).cast("long")).alias(c) for c in ("before", "after")]
-    row = lambda df, first: df.select("key", *(x for c in ("c", "starts", "lasts") for x in side(c, first)), *near(first))
-    sums = [F.sum(f"{k}{c}").alias(f"{k}{c}") for c in ("c", "starts", "lasts") for k in "nt"]
-    found = settle(row(base, True).union(row(aim, False)).groupBy("key").agg(*sums, F.min("before").alias("before"), F.min("after").alias("after")))
-    out = found.where(F.col("nc") < LEAST)
-    own = found.select("key", F.col("nc").alias("n"), F.col("tc").alias("t"), (F.col("nc") - F.col("nlasts")).alias("fn"), (F.col("tc") - F.col("tlasts")).alias("ft"), F.col("nstarts").alias("zn"), F.col("tstarts").alias("zt"), zero.alias("bn"), zero.alias("bt"))
-    ahead = out.where("after <> 0").select(F.col("after").alias("key"), *(zero.alias(c) for c in ("n", "t", "fn", "ft")), F.col("nc").alias("zn"), F.col("tc").alias("zt"), zero.alias("bn"), zero.alias("bt"))
-    behind = out.where("before <> 0").select(F.col("before").alias("key"), *(zero.alias(c) for c in ("n", "t", "fn", "ft", "zn", "zt")), F.col("nc").alias("bn"), F.col("tc").alias("bt"))
-    return own.union(ahead).union(behind).groupBy("key").agg(*(F.sum(c).alias(c) for c in VALUES))
-
-
-def count_pairs(background: DataFrame, target: DataFrame) -> DataFrame:
-    """(key, n, t) of adjacent words: occurrences in all texts and in target ones. Both words of a pair that occurs LEAST
-    times are in the vocabulary."""
-    zero = F.lit(0).cast("long")
-    part = lambda df: _counted(df, _pair_counts, "key long, c long")
-    parts = part(background).select("key", F.col("c").alias("n"), zero.alias("t")).union(part(target).select("key", zero.alias("n"), F.col("c").alias("t")))
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-VALUES = ("n", "t", "fn", "ft", "zn", "zt", "bn", "bt")
-
-
-def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of wanted keys among sorted ones, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-@dataclass
-class Head:
-    """What is broadcast: sums of a fixed number, and the most frequent words and bigrams, sorted by key.
-
-    Columns are as those of VALUES; the row unknown stands for words out of the vocabulary, together with the start."""
-
-    unknown: np.ndarray
-    sums: np.ndarray  # tokens and vocabulary of each model: the denominators
-    word_keys: np.ndarray
-    word_values: np.ndarray
-    pair_keys: np.ndarray
-    pair_values: np.ndarray
-
-    def wanted(self, text: str | None) -> np.ndarray:
-        """Distinct keys of a text's words and bigrams that have to be joined."""
-        got = encode(text)
-        if not len(got):
-            return got
-        one, two = np.unique(got), np.unique(pair_keys(got[:-1], got[1:]))
-        return np.concatenate([one[~_look(self.word_keys, one)[1]], two[~_look(self.pair_keys, two)[1]]])
-
-    def losses(self, text: str | None, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Token x 2 losses in nats, given the joined entries of the text. Column 0 is the background, 1 the target."""
-        got = encode(text)
-        if not len(got):
-            return np.zeros((0, 2))
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-
-        def find(wanted: np.ndarray, head_keys: np.ndarray, head: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-            out = np.zeros((len(wanted), width), np.int64)
-            at, first = _look(head_keys, wanted)
-            out[first] = head[at[first]]
-            at, hit = _look(keys, wanted)
-            hit &= ~first
-            out[hit] = values[at[hit], :width]
-            return out, first | hit
-
-        cur, known = find(got, self.word_keys, self.word_values, len(VALUES))
-        cur[~known] = self.unknown
-        prev, before = np.concatenate([self.unknown[None], cur[:-1]]), np.append(False, known[:-1])
-        # a bigram's count: its own, or that of one with a word out of the vocabulary
-        two = np.where(known[:, None], cur[:, 4:6], prev[:, 6:8])
-        both = np.flatnonzero(known & before)
-        two[both] = find(pair_keys(got[both - 1], got[both]), self.pair_keys, self.pair_values, 2)[0]
-        two[two[:, 0] < LEAST] = 0
-        # a bigram's share is of its first word's occurrences as a first word
-        return -np.log((1 - MIX) * (cur[:, :2] + 1) / self.sums + MIX * two / np.maximum(prev[:, 2:4], 1))
-
-
-@dataclass
-class Models:
-    """The two models: what is broadcast, and the table (key, *VALUES) of all other words and kept bigrams."""
-
-    head: Head
-    rest: DataFrame
-
-
-def train(background: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Models of the texts (a column text) of all documents and of target ones, which are among them. Null texts have no words.
-
-    Without target documents the target model is uniform, and so the score is that against the background; without
-    documents both are. Shares bound what the driver and the broadcasts hold; they don't change what is counted.
-    """
-    counted = settle(count_words(background, target))
-    known = F.col("n") >= LEAST
-    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).alias(c)
-    every, out = (counted.agg(F.count(F.when(known, 1)).alias("size"), *(total(c, w) for c in VALUES)).first() for w in (F.lit(True), ~known))
-    unknown = np.array([out[c] for c in VALUES], dtype=np.int64)
-    for k, (c, f, z) in enumerate((("n", "fn", "zn"), ("t", "ft", "zt"))):
-        unknown[2 + k] += every[c] - every[f]  # texts: each has a start, before its first word, and a word that is last
-        unknown[6 + k] = out[z]
-    sums = np.array([every["n"], every["t"]], dtype=float) + every["size"] + 1
-    pairs = settle(count_pairs(background, target).where(known))
-
-    def often(df: DataFrame, share: float) -> tuple[Column, np.ndarray, np.ndarray]:
-        """Whether a row is broadcast, and the keys and values of those that are: at most 1 / share."""
-        top = known & (F.col("n") >= share * every["n"])
-        t = df.where(top).orderBy("key").toArrow()
-        return top, t["key"].to_numpy(), np.stack([c.to_numpy() for c in t.columns[1:]], axis=1)
-
-    top_word, word_keys, word_values = often(counted, word_share)
-    top_pair, two_keys, two_values = often(pairs, pair_share)
-    none = [F.lit(None).cast("long").alias(c) for c in VALUES[2:]]
-    rest = counted.where(known & ~top_word).union(pairs.where(~top_pair).select("key", "n", "t", *none))
-    return Models(Head(unknown, sums, word_keys, word_values, two_keys, two_values), rest)
 
+def _parts(batch: int, keys: np.ndarray, n: np.ndarray, ranges: int, role: str) -> pa.RecordBatch:
+    """A row for each range: differences of the sorted keys there, and their counts on one side or on none."""
+    cut = _cut(keys, ranges)
+    rows = [(i, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    side = lambda r: pa.array([x[2] if role == r else None for x in rows], pa.binary())
+    columns = [pa.array([x[0] for x in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary()), side("base"), side("target")]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "batch", "keys", "base", "target"])
 
-SCORED = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
+def _chunks(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.Table]:
+    """Rows of a task in pieces of bounded size."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for batch in batches:
+        lengths = [len(x) if x else 0 for x in batch.column(col).to_pylist()]
+        first = 0
+        for i, n in enumerate(lengths):
+            if rows and (size + n > BATCH_CHARS or rows >= BATCH_ROWS):
+                yield pa.Table.from_batches([*held, batch.slice(first, i - first)])
+                held, first, size, rows = [], i, 0, 0
+            size, rows = size + n, rows + 1
+        if len(batch) > first:
+            held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
 
-def score(df: DataFrame, models: Models, col: str = "text") -> DataFrame:
-    """df with n_tokens, target_loss, background_loss (means for each token, in nats) and score, their difference; all but
-    n_tokens are null for texts that are null or have no word. Equal texts get equal scores. Columns of df with one of
-    the new names, in any case, are replaced."""
-    held = df.sparkSession.sparkContext.broadcast(models.head)
-    keep = without(df, [*SCORED.fieldNames(), "__row", "__text", "__found"])
-    base = settle(df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias("__text"), F.monotonically_increasing_id().alias("__row")))
 
-    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
-                keys = [held.value.wanted(t) for t in part["__text"].to_pylist()]
-                rows = np.repeat(part["__row"].to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["__row", "key"])
+def _dealt(df: DataFrame, text: str) -> DataFrame:
+    """(batch, chars, docs): df in batches, as Arrow streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, t in enumerate(_chunks(batches, text)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(t)
+            chars = sum(len(x) for x in t.column(text).to_pylist() if x)
+            yield pa.RecordBatch.from_pydict({"batch": [first + i], "chars": [chars], "docs": [sink.getvalue().to_pybytes()]})
+
+    return df.mapInArrow(run, "batch long, chars long, docs binary")
 
-    wanted = base.select("__row", "__text").mapInArrow(want, "__row long, key long")
-    found = wanted.join(models.rest.hint("merge"), "key").groupBy("__row").agg(F.collect_list(F.struct("key", *VALUES)).alias("__found"))
-    both = base.join(found.hint("merge"), "__row", "left").select(*(F.col(q(c)) for c in keep), "__text", "__found")
+
+def _sent(texts: DataFrame, ranges: int, role: str) -> DataFrame:
+    """Counts of a column text, whose totals nobody waits for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _chunks(batches, "text"):
+            yield _parts(-1, *counts(t.column("text").to_pylist()), ranges, role)
+
+    return texts.select("text").mapInArrow(run, PART)
+
+
+def _totals(t: pa.Table) -> pa.Table:
+    """For each batch of a range its keys' totals in both models, in its order; and with batch -1 the range's sums."""
+    keys = [np.cumsum(_numbers(x), dtype=np.uint64) for x in t["keys"].to_pylist()]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    total = []
+    for side in ("base", "target"):
+        given = [np.zeros(len(k), np.uint64) if x is None else _numbers(x) for x, k in zip(t[side].to_pylist(), keys, strict=True)]
+        total.append(np.bincount(place, weights=np.concatenate(given).astype(float), minlength=len(every)).astype(np.uint64))
+    rows = []
+    for batch, a, b in zip(t["batch"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+        if batch >= 0:
+            rows.append((batch, _planes(total[0][place[a:b]]), _planes(total[1][place[a:b]]), None, None, None))
+    word = (every & np.uint64(1) == 0) & (every != START)
+    seen = word & (total[0] + total[1] > 0)
+    rows.append((-1, None, None, int(seen.sum()), int(total[0][word].sum()), int(total[1][word].sum())))
+    part = t["part"][0].as_py()
+    names = ["batch", "base", "target", "words", "base_tokens", "target_tokens"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, types, strict=True))}
+    return pa.table({"part": pa.array([part] * len(rows), pa.int32()), **columns})
+
+
+TOTALS = "part int, batch long, base binary, target binary, words long, base_tokens long, target_tokens long"
+
+
+def losses(texts: list[str | None], totals: list[np.ndarray], sums: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Token x 2 losses in nats (background, target) of texts one after another, and the number of tokens of each.
+
+    totals: for both models the totals of counts(texts)' keys. sums: tokens and entries of each model's vocabulary."""
+    cur, prev, sizes = tokens(texts)
+    keys = counts(texts)[0]
+    at = [np.searchsorted(keys, k) for k in (cur, prev, pair_keys(prev, cur))]
+    out = np.zeros((len(cur), 2))
+    for k, (n, all_) in enumerate(zip(totals, sums, strict=True)):
+        word, first, both = (n[i].astype(float) for i in at)
+        own = (word + 1) / all_
+        out[:, k] = -np.log(np.where(first > 0, (1 - MIX) * own + MIX * both / np.maximum(first, 1), own))
+    return out, sizes
+
+
+SCORED = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+
+def _means(loss: np.ndarray, sizes: np.ndarray) -> list[list[float] | None]:
+    out, start = [], 0
+    for n in sizes:
+        part = loss[start : start + n]
+        out.append([*part.mean(axis=0).tolist(), float((part[:, 1] - part[:, 0]).mean())] if n else None)
+        start += n
+    return out
+
+
+def score(df: DataFrame, target: DataFrame, background: DataFrame | None = None, col: str = "text") -> DataFrame:
+    """df with n_tokens, target_loss, background_loss (means for each token, in nats) and score, their difference.
+
+    target and background have a column text; without background the texts of df are it. All new columns but n_tokens are
+    null for texts that are null or have no word. Equal texts get equal scores. Without target texts the target
+    model gives each word the same share; null texts count nothing. An empty table gives an empty one. Columns
+    of df with one of the new names, in any case, are replaced.
+    """
+    keep = without(df, SCORED.fieldNames())
+    rest = df.select(*(F.col(q(c)) for c in keep))
+    (text,) = fresh(rest, "text")
+    base = settle(_dealt(df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias(text)), text))
+    chars = base.agg(F.sum("chars")).first()[0] or 0
+    if background is not None:
+        chars += background.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(chars / RANGE_CHARS))
+    role = "base" if background is None else "none"
+
+    def read(stream: bytes) -> pa.Table:
+        return pa.ipc.open_stream(stream).read_all()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(len(keep)), batch.column(len(keep) + 1)
-            means: list[list[float] | None] = []
-            sizes = []
-            for i in range(len(batch)):
-                entries = lists[i].values if lists[i].is_valid else None
-                columns = [pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in entries.flatten()] if entries is not None else [np.zeros(0, np.int64)] * (1 + len(VALUES))
-                got = held.value.losses(texts[i].as_py(), columns[0], np.stack(columns[1:], axis=1))
-                sizes.append(len(got))
-                means.append([*got.mean(axis=0).tolist(), float((got[:, 1] - got[:, 0]).mean())] if len(got) else None)
-            side = lambda k: pa.array([m[k] if m else None for m in means], pa.float64())  # noqa: B023, E731
-            new = [pa.array(sizes, pa.int64()), side(1), side(0), side(2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *new], names=[*keep, *SCORED.fieldNames()])
-
-    return both.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *SCORED.fields]))
+            for number, stream in zip(batch["batch"], batch["docs"], strict=True):
+                yield _parts(number.as_py(), *counts(read(stream.as_py()).column(text).to_pylist()), ranges, role)
+
+    parts = base.select("batch", "docs").mapInArrow(send, PART).union(_sent(target, ranges, "target"))
+    if background is not None:
+        parts = parts.union(_sent(background, ranges, "base"))
+    found = settle(parts.groupBy("part").applyInArrow(_totals, TOTALS))
+    release(collect=df.sparkSession)
+    size, *all_ = (x or 0 for x in found.agg(F.sum("words"), F.sum("base_tokens"), F.sum("target_tokens")).first())
+    sums = [float(n + size + 1) for n in all_]
+    fields = T.StructType([*(df.schema[c] for c in keep), *SCORED.fields])
+    names = fields.fieldNames()
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        docs = read(left["docs"][0].as_py())
+        texts = docs.column(text).to_pylist()
+        right = right.sort_by("part")
+        totals = [np.concatenate([np.zeros(0, np.uint64), *map(_numbers, right[c].to_pylist())]) for c in ("base", "target")]
+        got, sizes = losses(texts, totals, sums)
+        means = _means(got, sizes)
+        side = lambda k: pa.array([m[k] if m else None for m in means], pa.float64())
+        new = [pa.array(sizes, pa.int64()), side(1), side(0), side(2)]
+        return pa.Table.from_arrays([*(docs.column(i) for i in range(len(keep))), *new], names=names)
+
+    totals = found.where("batch >= 0").select("batch", "part", "base", "target")
+    return base.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(finish, fields)
 
 
 def target_texts(docs: DataFrame, labels: DataFrame, col: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """The texts of documents with a label of 1 for their id, as a table of its own. Rows without an id or label aren't target.
+    """The texts of documents with a label of 1 for their id. Rows without an id or label aren't target.
 
-    A filter of fixed size drops most other documents before the join, which only target texts have to be shuffled for.
+    A filter of bounded size drops most other documents before the join, which only target texts have to be shuffled for.
     """
-    good = settle(labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct())
+    good = settle(labels.where((F.col(q(label)) == 1) & F.col(q(doc_id)).isNotNull()).select(F.col(q(doc_id)).alias("__id")).distinct())
     texts = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("text"))
     likely = texts.where(id_filter(good, "__id")(F.col("__id")))
-    return settle(likely.join(good.hint("merge"), "__id", "left_semi").select("text"))
+    return likely.join(good.hint("merge"), "__id", "left_semi").select("text")

@@ -34,8 +34,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = lm_score.train(docs, lm_score.target_texts(docs, table(spark, sf_dir, "labels")))
-    return lm_score.score(docs, models).drop("text")
+    return lm_score.score(docs, lm_score.target_texts(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

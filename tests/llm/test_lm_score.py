@@ -1,64 +1,103 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sheaf.llm import lm_score, queries
 
 
-def plain(texts, targets, word_share, pair_share, text):
-    """Score of a text by counting words and pairs of words one by one."""
-    docs = [t.encode().lower().split() for t in texts]
-    total = sum(map(len, docs))
-    words = Counter(w for d in docs for w in d)
-    known = {w for w, n in words.items() if n >= max(2, word_share * total)}
-    fold = lambda d: [w if w in known else None for w in d]
-    docs = [fold(d) for d in docs]
-    pairs = Counter(p for d in docs for p in zip([None, *d], d, strict=False))
-    kept = {p for p, n in pairs.items() if n >= max(2, pair_share * total)}
-    losses = []
-    for part in (docs, [d for d, t in zip(docs, targets, strict=True) if t]):
-        one = Counter(w for d in part for w in d)
-        two = Counter(p for d in part for p in zip([None, *d], d, strict=False))
-        first = Counter(a for a, _ in two.elements())
-        n, v = sum(one.values()), len(known) + 1
-        d = fold(text.encode().lower().split())
-        losses.append([-math.log(0.3 * (one[b] + 1) / (n + v) + (0.7 * two[a, b] / max(1, first[a]) if (a, b) in kept else 0)) for a, b in zip([None, *d], d, strict=False)])
-    return sum(t - b for b, t in zip(*losses, strict=True)) / len(losses[0])
-
-
-def test_same_as_counting(spark, make_docs):
-    texts = [f"the cat number {i % 3} sat on The mat" if i % 2 else f"stocks fell {i % 5} percent on the market" for i in range(40)] + ["", "lonely"]
+def split(text):
+    return (text or "").encode().lower().split()
+
+
+def plain_model(texts, vocabulary):
+    """p(word, previous word) of a model, by counting words and pairs of words one by one."""
+    docs = [split(t) for t in texts]
+    one = Counter(w for d in docs for w in d)
+    two = Counter(p for d in docs for p in zip([None, *d], d, strict=False))
+    first = Counter(w for d in docs if d for w in [None, *d])
+    size = sum(one.values()) + len(vocabulary) + 1
+
+    def p(w, before):
+        own = (one[w] + 1) / size
+        return 0.3 * own + 0.7 * two[before, w] / first[before] if first[before] else own
+
+    return p, two, first
+
+
+def plain(background, target, texts):
+    """(tokens, target loss, background loss, score) of each text."""
+    vocabulary = {w for t in [*background, *target] for w in split(t)}
+    models = [plain_model(x, vocabulary)[0] for x in (target, background)]
+    out = []
+    for t in texts:
+        d = split(t)
+        both = [[-math.log(p(w, b)) for b, w in zip([None, *d], d, strict=False)] for p in models]
+        means = [sum(x) / len(d) for x in both] if d else [None, None]
+        out.append((len(d), *means, means[0] - means[1] if d else None))
+    return out
+
+
+TEXTS = [f"the cat number {i % 3} sat on The mat x{i}" if i % 2 else f"stocks fell {i % 5} percent on the market x{i} y{i}" for i in range(40)] + ["", "lonely", None, "two lonely"]
+
+
+def same(rows, want):
+    assert len(rows) == len(want)
+    for r, w in zip(sorted(rows, key=lambda r: r["doc_id"]), want, strict=True):
+        got = (r["n_tokens"], r["target_loss"], r["background_loss"], r["score"])
+        assert got == tuple(x if x is None else pytest.approx(x, rel=1e-9, abs=1e-12) for x in w)
+
+
+def test_same_as_counting(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_CHARS", 200)  # many batches and ranges
+    monkeypatch.setattr(lm_score, "RANGE_CHARS", 150)
     labels = spark.createDataFrame([(i, int(i % 2 == 1), 0) for i in range(40)] + [(None, 1, 0), (1, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)] + [(99, None, None)])
+    docs = make_docs([(i, t, "s") for i, t in enumerate(TEXTS)])
     target = lm_score.target_texts(docs, labels)
-    assert target.count() == 20
-    models = lm_score.train(docs, target)
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, models).collect()}
-    targets = [i % 2 == 1 and i < 40 for i in range(len(texts))]
-    for i in (0, 1, 7, 20, 41):
-        assert got[i] == pytest.approx(plain(texts, targets, lm_score.WORD_SHARE, lm_score.PAIR_SHARE, texts[i]), rel=1e-9)
-    assert got[40] is None and got[99] is None and got[1] < 0 < got[0]
-
-
-def test_shares_drop_nothing(spark, make_docs):
-    texts = [f"the cat {i // 2} sat on mat {i % 7} today" if i % 3 else f"fell {i // 4} x{i} y{i} on the market x{i + 1}" for i in range(60)] + ["new1 new2 new3", "cat new4"]
-    targets = [i % 3 == 1 and i < 60 for i in range(len(texts))]
-    docs, target = make_docs(texts), make_docs([t for t, x in zip(texts, targets, strict=True) if x])
-    models = lm_score.train(docs, target, 0.05, 0.05)  # most words and bigrams are below these shares
-    assert 0 < len(models.head.word_keys) < 10 and models.rest.count() > 50
-    more = [*texts, "market the cat unseen 3 unseen sat on"]
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(make_docs(more), models).collect()}
-    for i, text in enumerate(more):
-        assert got[i] == pytest.approx(plain(texts, targets, 0, 0, text), rel=1e-9, abs=1e-12)
+    good = [t for i, t in enumerate(TEXTS) if i % 2 == 1 and i < 40]
+    assert sorted(r["text"] for r in target.collect()) == sorted(good)
+    got = lm_score.score(docs, target).collect()
+    same(got, plain(TEXTS, good, TEXTS))
+    assert got[0].asDict().keys() == {*docs.columns, "n_tokens", "target_loss", "background_loss", "score"}
+
+
+def test_other_background(make_docs):
+    more = ["the cat unseen sat", "the mat new words"]
+    got = lm_score.score(make_docs(more), make_docs(TEXTS[:5]), make_docs(TEXTS)).collect()
+    same(got, plain(TEXTS, TEXTS[:5], more))
+
+
+def test_sums_to_one():
+    vocabulary = {w for t in TEXTS for w in split(t)}
+    p, two, first = plain_model(TEXTS, vocabulary)
+    for before in (None, b"the", b"lonely"):
+        end = 0.7 * (first[before] - sum(n for (a, _), n in two.items() if a == before)) / first[before]
+        assert sum(p(w, before) for w in vocabulary) + p(b"never seen", before) + end == pytest.approx(1)
+
+
+def test_numbers_survive_planes():
+    n = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert (lm_score._numbers(lm_score._planes(n)) == n).all() and len(lm_score._numbers(lm_score._planes(n[:0]))) == 0
+    keys = np.sort(n)
+    cut = lm_score._cut(keys, 7)
+    assert cut[0] == 0 and cut[-1] == 1000 and all((int(k) * 7) >> 64 == i for i in range(7) for k in keys[cut[i] : cut[i + 1]])
 
 
 def test_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    models = lm_score.train(odd_docs, lm_score.target_texts(odd_docs, labels))
-    rows = lm_score.score(odd_docs, models).collect()
+    rows = lm_score.score(odd_docs, lm_score.target_texts(odd_docs, labels)).collect()
     assert len(rows) == 8 and all((r["score"] is None) == (r["n_tokens"] == 0) for r in rows)
-    assert lm_score.score(odd_docs.limit(0), lm_score.train(odd_docs.limit(0), lm_score.target_texts(odd_docs.limit(0), labels))).count() == 0
+    assert len({r["score"] for r in rows if r["doc_id"] == 4}) == 1
+    empty = odd_docs.limit(0)
+    assert lm_score.score(empty, lm_score.target_texts(empty, labels)).count() == 0
+
+
+def test_query_same_as_counting(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    texts = [t for _, t in docs]
+    same(queries.op4_lm_score(spark, sf_dir).collect(), plain(texts, [t for i, t in docs if i in good], texts))
 
 
 def test_query_tells_quality(spark):
