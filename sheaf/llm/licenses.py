@@ -7,6 +7,8 @@ lines that speaks of a license, among known notices. A match is of a whole text
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from sheaf.llm.common import q, settle, without
 
 #: Spellings that count as equal.
 SPELLINGS = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "analyse": "analyze", "artefact": "artifact",
-    "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior", "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "emphasised": "emphasized",
-    "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
-    "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
-    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull", "noncommercial": "non commercial",
-    "https": "http", "copyright holders": "copyright holder", "per cent": "percent",
+    "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior",
+    "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "colour": "color",
+    "copyright holders": "copyright holder", "copyright owner": "copyright holder", "copyright owners": "copyright holder", "defence": "defense", "emphasised": "emphasized", "favour": "favor",
+    "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor",
+    "licence": "license", "licenced": "licensed", "licences": "licenses", "licencing": "licensing", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "non commercial": "noncommercial",
+    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "per cent": "percent", "practise": "practice", "programme": "program",
+    "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sub licence": "sublicense", "sub license": "sublicense", "sublicence": "sublicense", "sublicenced": "sublicensed", "sublicences": "sublicenses", "sublicencing": "sublicensing",
+    "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 #: Texts of licenses, without their copyright lines.
@@ -69,6 +73,67 @@ NAMES = {
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
     "CC0-1.0": ["CC0 1.0", "CC0"], **{f"CC-{k}-{v}": [f"CC {k} {v}"] for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")},
 }
+#: Identifiers that stand after SPDX-License-Identifier.
+IDENTIFIERS = """
+0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0
+CC-BY-SA-4.0 EPL-1.0 EPL-2.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0
+LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 Unlicense Zlib
+""".split()
+#: Digests of the canonical forms of longer license texts: whole, and where they have an end of terms, up to it and
+#: with it.
+DIGESTS = {
+    "Apache-2.0": [
+        "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3",
+        "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64",
+        "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "fdbd790ae9850ae81a2c777de181b7ceb77f56f8916bab9409c3a7724c8f131a",
+    ],
+    "GFDL-1.3": [
+        "9af8b09a25e07e574718758cdf5a64581433b2e9f0cd27bd6665cce5b182563b",
+    ],
+    "GPL-1.0": [
+        "b0b451371aa8b1fca2656e1c4adfd20298318818523446f7571338a5b932e23f",
+        "446a870fbe7a20405d807d04a8642f55ba2ff4183a84ca8236d78f7718c612c3",
+        "59967477eafa5c999df136ce4729e98a72b0bde54cf327c732f475447201a313",
+    ],
+    "GPL-2.0": [
+        "c683128a79af968653f7a06709159e41adcfcb00ca1e8ab9ffa1d516dcf82123",
+        "a93fe78d4730818406bfd92d5ca51c742bb44757809e9df2b528ee23601c6446",
+        "393d838a3fcdf4be802c0512341c9f00cc4c10adb56ebbf01687ff37049a19dd",
+    ],
+    "GPL-3.0": [
+        "ab0ff01b5102d67da216e91690a50504aebf46513a85db94155933b2db63283f",
+        "f5faf9b905f587deca8a69ec8502726a00807a41ff4a410e1f8ecd7b6cc3e134",
+        "22fb9eab6c587ba29bf311c60aba8ee70bbd3dc03ec5eecdfb7f3b4188c969cd",
+    ],
+    "LGPL-2.0": [
+        "b64047590f42a52d46a8a93fad9485df2e189694e4b51288546e57ce10e59769",
+        "24f90d254e58b80510e11141dd34919c3540d2724873a5956bd674033ae5a36b",
+        "2d380dbc5ad94744c5d444af2bdcf1542b0848aa1587d6c7f3efb54e87ce54a5",
+    ],
+    "LGPL-2.1": [
+        "bc7898eef7d53923eff574c7a898468049b8e1e90eef19ba0b8132904dd70a66",
+        "161c1b11462a7e927417540b0d51bf241c84e045a9aa72dd5bf5537c35d8d1c1",
+        "e8fee7034b6432f7d6c16577b34654c02947180c540389d03e5e06c427f0f4f5",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    ],
+    "MPL-2.0": [
+        "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+    ],
+    "Artistic-1.0-Perl": [
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    ],
+}
 #: What stands before the name in a notice.
 OPENINGS = ["Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "This file is licensed under", "SPDX-License-Identifier:"]
 SPEAKS = r"(?i)licen[sc]e|released under|distributed under|copyright"
@@ -76,7 +141,6 @@ SPEAKS = r"(?i)licen[sc]e|released under|distributed under|copyright"
 
 #: Lines that don't count: a copyright sign or word with a year or a sign, and the usual reservation.
 UNCOUNTED = (r"(?m)^[^\w\n©]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|©|\(c\))[^\n]*$", r"(?m)^\W*all rights reserved\W*$")
-LONGEST_LINE = 400  # code points of a line that can be a notice; the longest known one has fewer by far
 
 
 def canonical(text: Column) -> Column:
@@ -84,10 +148,15 @@ def canonical(text: Column) -> Column:
     c = F.lower(text)
     for line in UNCOUNTED:
         c = F.regexp_replace(c, line, " ")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    # two spaces between words, so that each has its own on either side and neighbours are replaced too
+    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(c)
+        c = F.replace(c, F.lit(_spaced(old)), F.lit(_spaced(new)))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digest(text: Column) -> Column:
@@ -97,14 +166,17 @@ def digest(text: Column) -> Column:
 def entries() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """(license, text) of license texts, and of notices."""
     texts = [(k, t) for k, all_ in TEXTS.items() for t in all_]
-    return texts, [(k, f"{o} {the}{n}") for k, names in NAMES.items() for n in names for o in OPENINGS for the in ("", "the ")]
+    notices = [(k, f"{o} {the}{n}") for k, names in NAMES.items() for n in names for o in OPENINGS for the in ("", "the ")]
+    return texts, notices + [(re.sub("-(only|or-later)$", "", k), f"SPDX-License-Identifier: {k}") for k in IDENTIFIERS]
 
 
 def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(digest, license) of license texts, and of notices: tables of a size that is fixed here."""
     texts, notices = entries()
-    frame = lambda rows: spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").dropDuplicates(["digest"])
-    return frame(texts), frame(notices)
+    frame = lambda rows: spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    more = spark.createDataFrame([(d, k) for k, all_ in DIGESTS.items() for d in all_], "digest string, license string")
+    one = lambda rows: rows.groupBy("digest").agg(F.min("license").alias("license"))
+    return one(frame(texts).union(more)), one(frame(notices))
 
 
 def sql(table: str) -> str:
@@ -115,17 +187,19 @@ def sql(table: str) -> str:
         c = f"lower({c})"
         for line in UNCOUNTED:
             c = f"regexp_replace({c}, {text(line)}, ' ', 'g')"
-        c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
         for old, new in SPELLINGS.items():
-            c = f"replace({c}, ' {old} ', ' {new} ')"
-        return f"sha256(trim({c}))"
+            c = f"replace({c}, {text(_spaced(old))}, {text(_spaced(new))})"
+        return f"sha256(trim(replace({c}, '  ', ' ')))"
 
     rows = ["(values " + ", ".join(f"({text(k)}, {text(t)})" for k, t in part) + ") v(license, t)" for part in entries()]
+    more = ", ".join(f"({text(k)}, {text(d)})" for k, all_ in DIGESTS.items() for d in all_)
     pick = lambda r: f"(select {hashed('t')} as digest, min(license) as license from {r} group by 1)"
-    return f"""with d as (select doc_id, coalesce(text, '') as text from {table}), texts as {pick(rows[0])}, notices as {pick(rows[1])},
+    return f"""with d as (select doc_id, coalesce(text, '') as text from {table}), notices as {pick(rows[1])},
+    texts as (select digest, min(license) as license from (select * from {pick(rows[0])} union all select digest, license from (values {more}) w(license, digest)) group by 1),
     lines as (select doc_id, unnest(string_split(text, chr(10))) as x from d),
     said as (select doc_id, string_agg(distinct n.license, ',' order by n.license) as notices from
-        (select doc_id, {hashed('x')} as h from lines where length(x) <= {LONGEST_LINE} and regexp_matches(x, {text(SPEAKS)})) l join notices n on l.h = n.digest group by 1)
+        (select doc_id, {hashed('x')} as h from lines where regexp_matches(x, {text(SPEAKS)})) l join notices n on l.h = n.digest group by 1)
     select d.doc_id, {hashed('d.text')} as digest, t.license, coalesce(s.notices, '') as notices
     from d left join texts t on t.digest = {hashed('d.text')} left join said s on s.doc_id = d.doc_id"""
 
@@ -141,13 +215,13 @@ def scan(df: DataFrame, col: str = "text", keep_text: bool = True) -> DataFrame:
     equal results and an empty table gives an empty one. Columns of df named as one of the new ones (in any case) are
     replaced. Without keep_text, col is left out.
     """
-    keep = [c for c in without(df, [*ADDED, "__row"]) if keep_text or c != col]
+    keep = [c for c in without(df, ADDED) if keep_text or c != col]
     text = F.coalesce(F.col(q(col)), F.lit(""))
-    lines = F.filter(F.split(text, r"\n"), lambda x: (F.length(x) <= LONGEST_LINE) & x.rlike(SPEAKS))
-    base = df.select(*(F.col(q(c)) for c in keep), digest(text).alias("digest"), F.transform(lines, digest).alias("__lines"), F.monotonically_increasing_id().alias("__row"))
+    lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(SPEAKS))
+    base = df.select(*(F.col(q(c)).alias(f"__keep{i}") for i, c in enumerate(keep)), digest(text).alias("digest"), F.transform(lines, digest).alias("__lines"), F.monotonically_increasing_id().alias("__row"))
     base = settle(base)
     texts, notices = known(df.sparkSession)
     said = base.where(F.size("__lines") > 0).select("__row", F.explode("__lines").alias("digest")).join(F.broadcast(notices), "digest")
     said = said.groupBy("__row").agg(F.array_sort(F.collect_set("license")).alias("notices"))
     out = base.drop("__lines").join(F.broadcast(texts), "digest", "left").join(said, "__row", "left")
-    return out.select(*(F.col(q(c)) for c in keep), "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    return out.select(*(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)), "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from sheaf.llm import licenses, queries
 
 
@@ -11,7 +15,28 @@ def test_whole_texts_and_lines(spark, make_docs):
 
 def test_no_text_has_two_licenses(spark):
     texts, notices = licenses.known(spark)
-    assert texts.count() == sum(map(len, licenses.TEXTS.values())) and notices.count() > 200
+    assert texts.count() == sum(map(len, licenses.TEXTS.values())) + sum(map(len, licenses.DIGESTS.values())) and notices.count() > 200
+
+
+def test_spellings_beside_each_other_and_long_lines(spark, make_docs):
+    texts = ["licence licence copyright owners whilst wilful sub-licence", "license license copyright holder while willful sublicense", "x\nReleased under the MIT License." + " " * 500 + "\ny", "SPDX-License-Identifier: GPL-3.0-or-later"]
+    rows = [r for r in licenses.scan(make_docs(texts)).orderBy("doc_id").collect()]
+    assert rows[0]["digest"] == rows[1]["digest"]
+    assert rows[2]["notices"] == ["MIT"] and rows[3]["notices"] == ["GPL-3.0"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license texts on this machine")
+def test_long_licenses_in_other_dress(spark, make_docs):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    whole = {k: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for k, f in names.items()}
+
+    def dress(t):
+        t = "\n".join(x.strip() for x in t.upper().splitlines()).replace("SUBLICENSE", "SUBLICENCE").replace("LICENSES", "LICENCES").replace(",", " ;").replace("COPYRIGHT HOLDER ", "COPYRIGHT OWNER ")
+        return "Copyright (C) 1999 Nobody At All\n\n" + t
+
+    texts = [*whole.values(), *map(dress, whole.values()), *(t + " more" for t in whole.values()), *(t[: len(t) // 2] for t in whole.values())]
+    rows = {r["doc_id"]: r["license"] for r in licenses.scan(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [*whole, *whole, *[None] * (2 * len(whole))]
 
 
 def test_odd_rows(odd_docs):
