@@ -1,8 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-A tolerant tree is built from the whole page. Every node gets a density, its characters for each tag, adjusted by the
-share of link characters and link tags. Children's densities are summed up, the container with the largest sum is
-selected, and with it all nodes at least as dense as the least dense one on its path to the body.
+A tolerant tree is built from the whole page, and elements that never hold article text are left out of it. Every node
+gets a density, its characters for each tag, adjusted by the share of link characters and link tags. Children's densities
+are summed up, the container with the largest sum is selected, and with it all nodes at least as dense as the least dense
+one on its path to the body. Names of classes and ids remove nothing: some of them lower a node's density, and
+a node so named within the selected subtree stays if it is still as dense as that threshold.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ _PLACES = (
 )
 #: A whole name; one of the layout (has-sidebar, with-comments, page-with-toc) speaks of other nodes.
 CLUTTER = re.compile(rf"(?:(?:{_PLACES})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_PLACES}))*", re.I)
-LARGE, LARGE_COMMENTS = 0.5, 0.9  # shares of a page's text, above which names don't make a node clutter
+LARGE, LARGE_COMMENTS = 0.5, 0.9  # shares of a page's text, above which names don't lower a node's density
+WEIGHT = 0.2  # of the density of a node that is named like clutter
 TEXTUAL = set("h1 h2 h3 h4 h5 h6 p pre blockquote".split())  # names of these are anchors and styles
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus\w*|replies|reply)(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -62,11 +65,12 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "size", "holds")
+    __slots__ = ("tag", "marks", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "size", "holds", "weight")
 
     def __init__(self, tag: str, up: Node | None, marks: dict[str, str] | None = None) -> None:
         self.tag, self.up, self.marks = tag, up, marks or {}
         self.kids: list[Node | str] = []
+        self.weight = 1.0
 
 
 def parse(page: str) -> Node:
@@ -127,10 +131,9 @@ def parse(page: str) -> Node:
     return root
 
 
-def clutter(node: Node, inside: bool, size: int, elsewhere: bool) -> bool:
-    """Whether a node can't be part of the article; inside: it is within an article or main element; size: of the page's
-    text; elsewhere: the page has such elements, so what is outside of them isn't the article, however large."""
-    said = f"{node.marks.get('class', '')} {node.marks.get('id', '')}"
+def clutter(node: Node, inside: bool, size: int) -> bool:
+    """Whether an element can't be part of the article, whatever its text; inside: it is within an article or main element;
+    size: of the page's text."""
     if node.tag in NEVER and not (node.tag == "form" and (node.holds or node.size > LARGE * size)):
         return True
     if node.tag in ("html", "body", "main", "article"):
@@ -138,9 +141,14 @@ def clutter(node: Node, inside: bool, size: int, elsewhere: bool) -> bool:
     if node.tag == "header" and not inside:
         return True
     hidden = "hidden" in node.marks or node.marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", node.marks.get("style", ""))
-    if hidden or node.marks.get("role", "").lower() in ROLES:
-        return True
-    if len(said) < 2 or node.holds or node.tag in TEXTUAL:
+    return bool(hidden) or node.marks.get("role", "").lower() in ROLES
+
+
+def named_clutter(node: Node, inside: bool, size: int, elsewhere: bool) -> bool:
+    """Whether a node's names speak of clutter; elsewhere: the page has article or main elements, so what is outside of
+    them isn't the article, however large."""
+    said = f"{node.marks.get('class', '')} {node.marks.get('id', '')}"
+    if len(said) < 2 or node.holds or node.tag in TEXTUAL or node.tag in ("html", "body", "main", "article"):
         return False
     names = node.marks.get("class", "") if inside and node.tag == "section" else said  # a section's id is where contents lead to
     small = node.size <= (LARGE_COMMENTS if COMMENTS.search(said) else LARGE) * size
@@ -173,13 +181,14 @@ def clutter_article(node: Node) -> bool:
 
 
 def prune(root: Node) -> None:
-    """Takes clutter out of the tree."""
+    """Takes elements that can't be part of the article out of the tree, and weighs those that are named like clutter."""
     elsewhere = weigh(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main") or node.marks.get("role") == "main"
-        node.kids = [k for k in node.kids if isinstance(k, str) or not clutter(k, inside, root.size, elsewhere)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or not clutter(k, inside, root.size)]
+        node.weight = WEIGHT if named_clutter(node, inside, root.size, elsewhere) else 1.0
         todo += [(k, inside) for k in node.kids if not isinstance(k, str)]
 
 
@@ -205,18 +214,18 @@ def measure(root: Node) -> list[Node]:
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         ratio = c / max(1, lc) * max(1, node.tags) / max(1, node.link_tags)
         # without links the base would be 1: its logarithm is kept from falling below 1, so that characters per tag count
-        node.density = c / max(1, node.tags) * math.log(max(ratio, 1.0)) / max(1.0, math.log(base)) if c else 0.0
+        node.density = c / max(1, node.tags) * math.log(max(ratio, 1.0)) / max(1.0, math.log(base)) * node.weight if c else 0.0
         kids = [k.density for k in node.kids if not isinstance(k, str)]
         node.total = sum(kids) if kids else node.density
     return nodes
 
 
-def select(root: Node) -> Node | None:
-    """The subtree that holds the article."""
+def select(root: Node) -> tuple[Node | None, float]:
+    """The subtree that holds the article, and the least density on its path to the body."""
     nodes = measure(root)
     best = max((n for n in nodes if n.tag in CONTAINERS or n is root), key=lambda n: n.total)
     if not best.chars:
-        return root if root.chars else None
+        return (root if root.chars else None), 0.0
     path = [best]
     while path[-1].tag != "body" and path[-1].up is not None:
         path.append(path[-1].up)
@@ -228,8 +237,17 @@ def select(root: Node) -> Node | None:
             top = up
     for up in path:
         if up.tag in ("article", "main") or up.marks.get("role") == "main" or up.marks.get("itemprop") == "articleBody":
-            return up if up in path[path.index(top) :] else top
-    return top
+            return (up if up in path[path.index(top) :] else top), least
+    return top, least
+
+
+def thin(top: Node, least: float) -> None:
+    """Takes the nodes that are named like clutter and less dense than the threshold out of the selected subtree."""
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.weight == 1.0 or k.density >= least]
+        todo += [k for k in node.kids if not isinstance(k, str)]
 
 
 def blocks(node: Node) -> list[str]:
@@ -267,8 +285,11 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    top = select(root)
-    return "\n".join(blocks(top)) if top is not None else ""
+    top, least = select(root)
+    if top is None:
+        return ""
+    thin(top, least)
+    return "\n".join(blocks(top))
 
 
 FIELDS = T.StructType([T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
