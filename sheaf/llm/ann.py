@@ -19,8 +19,7 @@ from sheaf.llm.common import q, settle
 
 PIVOTS = 256  # vectors that the pivots are sampled from: these many, by hash of the id
 PLACES = 64  # nearest pivots that represent a vector
-SHARE = 0.15  # of a block's vectors that are scored exactly, by footrule distance
-LEAST = 512  # and at least so many of a block
+SHARE = 0.15  # of a block's vectors that are scored exactly, by footrule distance, whatever the block's size
 BLOCK = 4096  # vectors that share inverted files
 QUERIES = 16_384  # queries that are sent to all blocks at once
 
@@ -51,12 +50,10 @@ class Index:
         starts = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
         return cls(ids, vectors, norms(vectors), starts, by_pivot // length, by_pivot % length)
 
-    def ranked(self, order: np.ndarray) -> np.ndarray:
-        """Rows by footrule distance to an order of pivots, those that will be scored."""
+    def ranked(self, order: np.ndarray, least: int) -> np.ndarray:
+        """Rows of smallest footrule distance to an order of pivots, those that will be scored: at least so many, if there are."""
         n, length = len(self.ids), len(order)
-        take = min(n, max(LEAST, int(np.ceil(SHARE * n))))
-        if take == n:
-            return np.arange(n)
+        take = min(n, max(least, int(np.ceil(SHARE * n))))
         # pivots that only one of the two orders has stand at place length; what a shared pivot saves of that distance:
         rows, saved = [], []
         for place, pivot in enumerate(order):
@@ -67,6 +64,12 @@ class Index:
         return np.argpartition(-score, take - 1)[:take]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that the largest component is about 1: cosines stay the same, to the last bit unless
+    components vanish beside it, and squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
 def norms(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 
@@ -94,22 +97,22 @@ def search(df: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", v
     kept = settle(rows.withColumn("place", place).where(F.col("place") <= k + 1))
     sample = kept.where("place = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
     pivots = np.array([r["vector"] for r in sample]).reshape(len(sample), length["n"] if length else 0)
+    pivots = scaled(pivots)
     pivots = pivots / norms(pivots)[:, None]
     asked = rows.where(F.col("vec_id") % every == 0)
     asked = settle(asked)
     blocks = -(-asked.count() // QUERIES)
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))
-    parts = [_scan(kept, pivots, asked.where(part == b).collect(), k) for b in range(blocks)]  # a bounded block each
-    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for p in parts:
-        found = found.union(p)
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for b in range(blocks):  # the driver holds one bounded block at a time
+        found = found.union(_scan(kept, pivots, asked.where(part == b), k))
+    return found
 
 
-def _scan(kept: DataFrame, pivots: np.ndarray, queries: list, k: int) -> DataFrame:
-    ids = np.array([r["vec_id"] for r in queries])
-    vectors = np.array([r["vector"] for r in queries]).reshape(len(queries), -1)
+def _scan(kept: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
+    """The results of a block of queries, as a table of its own."""
+    t = queries.select("vec_id", "vector").toArrow()
+    ids, vectors = t["vec_id"].to_numpy(), scaled(_matrix(t["vector"]))
     held = kept.sparkSession.sparkContext.broadcast((pivots, ids, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def _scan(kept: DataFrame, pivots: np.ndarray, queries: list, k: int) -> DataFra
 
         def meet(index: Index) -> None:
             for i, (own, order) in enumerate(zip(asked, orders, strict=True)):
-                near = index.ranked(order)
+                near = index.ranked(order, k + 1)  # one may be the query itself
                 near = near[index.ids[near] != own]
                 # summed row by row, so that equal vectors get equal scores
                 score = (index.vectors[near] * vectors[i]).sum(axis=1) / (index.norms[near] * sizes[i])
@@ -142,10 +145,18 @@ def _scan(kept: DataFrame, pivots: np.ndarray, queries: list, k: int) -> DataFra
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return kept.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = kept.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    done = settle(found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    held.destroy()
+    return done
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    parts = [b.flatten().to_numpy().reshape(len(b), -1) for b in vectors.chunks if len(b)]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))
 
 
 def _index(batches: list[pa.RecordBatch], pivots: np.ndarray) -> Index:
     t = pa.Table.from_batches(batches)
-    vectors = np.array([v for b in t["vector"].chunks for v in b.flatten().to_numpy().reshape(len(b), -1)]) if len(t) else np.zeros((0, 0))
-    return Index.of(t["vec_id"].to_numpy(), vectors, pivots)
+    return Index.of(t["vec_id"].to_numpy(), scaled(_matrix(t["vector"])), pivots)
