@@ -169,7 +169,7 @@ def map_column(df: DataFrame, col: str, fields: T.StructType, make: Callable[[],
     are handed over in small chunks, so that memory doesn't follow the size of an Arrow batch.
     """
     keep = without(df, fields.fieldNames())
-    hidden = "__value"
+    (hidden,) = fresh(df.select(*(F.col(q(c)) for c in keep)), "__value")
     base = df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias(hidden))
     out = T.StructType([*(df.schema[c] for c in keep), *fields.fields])
     from pyspark.sql.pandas.types import to_arrow_type

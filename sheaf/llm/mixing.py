@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import WORD, q, settle, without
+from sheaf.llm.common import fresh, q, settle, without, WORD
 
 BUCKETS = 512  # parts of the documents of one source and size
 ADDED = ("size", "source_size", "target", "copies")
@@ -70,17 +70,21 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", doc_id: str =
     """df with source_size, target (double) and copies (long): how often the mix takes each row.
 
     Null sources are one source, the last; null sizes count as 0. Rows of equal id are told apart by chance only if
-    their sizes agree too, which changes no count. Reruns agree: the offset is a hash of seed and source. A source of
+    their sizes agree too: then the hash of all their columns orders them, and rows that are equal are alike. Reruns
+    agree: the offset is a hash of seed and source. A source of
     size 0 has target 0 and no copies. An empty table gives an empty one. Columns of df with a new name are replaced.
     """
-    keep = without(df, [*ADDED[1:], "__null", "__source", "__size", "__bucket"])
-    base = df.select(*(F.col(q(c)) for c in keep)).withColumns(
-        {
-            "__null": F.col(q(source)).isNull(),
-            "__source": F.coalesce(F.col(q(source)).cast("string"), F.lit("")),
-            "__size": F.coalesce(F.col(q(size)).cast("long"), F.lit(0)),
-            "__bucket": F.pmod(F.xxhash64(F.col(q(doc_id)), F.lit(seed)), F.lit(BUCKETS)).cast("int"),
-        }
+    keep = without(df, ADDED[1:])
+    kept = [f"__keep{i}" for i in range(len(keep))]  # no name of the caller's meets one of ours
+    hashable = [F.col(q(c)) for c in keep if "map<" not in df.schema[c].dataType.simpleString()]
+    base = df.select(
+        *(F.col(q(c)).alias(k) for c, k in zip(keep, kept, strict=True)),
+        F.col(q(source)).isNull().alias("__null"),
+        F.coalesce(F.col(q(source)).cast("string"), F.lit("")).alias("__source"),
+        F.coalesce(F.col(q(size)).cast("long"), F.lit(0)).alias("__size"),
+        F.pmod(F.xxhash64(F.col(q(doc_id)), F.lit(seed)), F.lit(BUCKETS)).cast("int").alias("__bucket"),
+        F.col(q(doc_id)).alias("__id"),
+        F.xxhash64(*hashable).alias("__hash"),
     )
     own = ["__null", "__source"]
     cells = settle(base.groupBy(*own, "__size", "__bucket").agg(F.count(F.lit(1)).alias("__n")))
@@ -95,15 +99,16 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", doc_id: str =
     inside = F.coalesce(F.sum("__n").over(before(*own, "__size", "__bucket")), F.lit(0))
     starts = cells.withColumn("__lower", inside).drop("__n").join(sizes, [*own, "__size"])
 
-    rank = F.row_number().over(Window.partitionBy(*own, "__size", "__bucket").orderBy(F.col(q(doc_id)))) + F.col("__smaller") + F.col("__lower")
+    rank = F.row_number().over(Window.partitionBy(*own, "__size", "__bucket").orderBy("__id", "__hash")) + F.col("__smaller") + F.col("__lower")
     crossed = lambda r: F.floor(F.col("__offset") + F.col("__share") * r)
     copies = F.least(crossed(rank) - crossed(rank - 1), F.ceil(F.col("__share"))).cast("long")
     placed = base.join(starts, [*own, "__size", "__bucket"]).withColumn("copies", copies)
-    return placed.select(*(F.col(q(c)) for c in keep), "source_size", "target", "copies")
+    return placed.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), "source_size", "target", "copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Rows of mix(), each as many times as its copies say, without the columns that mix() added."""
     rest = without(mixed, ADDED[1:])
+    (copy,) = fresh(mixed, "copy")
     taken = mixed.where(F.col("copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(q(c)) for c in rest))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(q(c)) for c in rest))

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import q, settle, without
+from sheaf.llm.common import q, release, settle, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: Leftmost non-overlapping matches of the base patterns. Possessive forms match the same and keep no stack; the
@@ -36,8 +36,7 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Signs of an address within an identifier-like token; others hold seven digits and more.
 ADDRESS = r"@|[(\[{]at[)\]}]"
 
-REACH = 64  # code points of context on either side
-ROUNDS = 3
+SETTLED = 1e-3  # change of the sum of all scores, as a share of it, from which on rounds end
 SUPPORT = 5  # seeds that a confident pattern has at least
 CONFIDENT = 0.8
 
@@ -56,6 +55,17 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+SPACE = r"[\x20\x09-\x0D]"
+TOKEN = r"[^\x20\x09-\x0D]++"
+
+
+def _last_words(gap: Column) -> Column:
+    """The last two words of a text, joined by one space."""
+    none = F.array(F.lit(""), F.lit(""))
+    parts = F.filter(F.slice(F.concat(none, F.split(gap, rf"{SPACE}++")), -3, 3), lambda w: w != "")
+    return F.concat_ws(" ", F.slice(F.concat(none, parts), -2, 2))
+
+
 def _spans(kind: str, matches: Column, gaps: Column) -> Column:
     """Valid matches with their places (code points) and what stands before and after: array of structs."""
     whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,text:string,before:string,after:string>>").alias("got"))
@@ -66,7 +76,7 @@ def _spans(kind: str, matches: Column, gaps: Column) -> Column:
         end = start + F.length(m)
         span = F.struct(
             start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("text"),
-            F.substring(F.get(gaps, i), -REACH, REACH).alias("before"), F.substring(F.get(gaps, i + 1), 1, REACH).alias("after"),
+            _last_words(F.get(gaps, i)).alias("before"), F.regexp_extract(F.get(gaps, i + 1), rf"^{SPACE}*+({TOKEN})", 1).alias("after"),
         )
         return F.struct(end.alias("at"), F.when(_valid(kind, m), F.concat(acc["got"], F.array(span))).otherwise(acc["got"]).alias("got"))
 
@@ -85,9 +95,6 @@ def base_spans(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("__base", F.array_sort(F.concat(*(F.col(f"__s_{k}") for k in KINDS)))).drop(*found)
 
 
-TOKEN = r"[^\x20\x09-\x0D]++"
-
-
 def unknown_tokens(df: DataFrame) -> DataFrame:
     """df with __unknown: identifier-like tokens that touch no base span, with places and context."""
     spaces = r"[\x20\x09-\x0D]++"
@@ -140,15 +147,16 @@ def _edges(found: DataFrame) -> DataFrame:
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the graph after some rounds, for patterns with seeds enough."""
+    """(pattern, kind, confidence) of the graph, for patterns with seeds enough. Scores and confidences only grow from
+    round to round, and are shares, so they settle."""
     edges = settle(_edges(found))
     # a pattern matters only if it has seeds; those that are few or mixed can't become confident
     seeds = edges.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
     known = settle(seeds.where(F.col("seeds") >= SUPPORT).join(sizes, "pattern"))
     unknown = settle(edges.where(F.col("kind").isNull()).drop("kind").join(known.select("pattern", F.col("kind")), "pattern"))
-    scores = None
-    for _ in range(ROUNDS):
+    scores, total = None, -1.0
+    while True:
         if scores is None:
             confidence = known.withColumn("confidence", F.col("seeds") / (F.col("size") + 1))
         else:
@@ -156,8 +164,15 @@ def confident_patterns(found: DataFrame) -> DataFrame:
             all_ = known.join(vouched, ["pattern", "kind"], "left")
             confidence = all_.withColumn("confidence", (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("size") + 1)).drop("more")
         doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
-        scores = unknown.join(confidence, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        scores = settle(scores)
+        before, last = scores, total
+        seen = Observation()
+        new = unknown.join(confidence, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        scores = settle(new.observe(seen, F.coalesce(F.sum("score"), F.lit(0.0)).alias("total")))
+        total = seen.get["total"]
+        if total - last <= SETTLED * total:
+            break
+        if before is not None:
+            release(before)
     return confidence.where(F.col("confidence") >= CONFIDENT).select("pattern", "kind", "confidence")
 
 
@@ -172,9 +187,10 @@ def find_personal(df: DataFrame, col: str = "text", keep_text: bool = True) -> D
     rows get equal spans, and an instance seen in one context many times counts once. An empty table gives an empty one.
     Columns of df with one of the new names, in any case, are replaced. Without keep_text, col is left out.
     """
-    keep = [c for c in without(df, ["base_spans", "spans", "__row"]) if keep_text or c != col]
-    base = unknown_tokens(base_spans(df.select(*(F.col(q(c)) for c in dict.fromkeys([*keep, col]))), col))
-    found = settle(base.select(*(F.col(q(c)) for c in keep), "__base", "__unknown", F.monotonically_increasing_id().alias("__row")))
+    keep = [c for c in without(df, ["base_spans", "spans"]) if keep_text or c != col]
+    own = [f"__keep{i}" for i in range(len(keep))]  # no name of the caller's meets one of ours
+    base = unknown_tokens(base_spans(df.select(*(F.col(q(c)).alias(o) for c, o in zip(keep, own, strict=True)), F.col(q(col)).alias("__whole")), "__whole"))
+    found = settle(base.select(*own, "__base", "__unknown", F.monotonically_increasing_id().alias("__row")))
     patterns = settle(confident_patterns(found))
     place = F.col("u")
     rows = found.where(F.size("__unknown") > 0).select("__row", F.explode("__unknown").alias("u"))
@@ -185,7 +201,7 @@ def find_personal(df: DataFrame, col: str = "text", keep_text: bool = True) -> D
     plain = F.transform("__base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["kind"].alias("kind")))
     both = found.join(added, "__row", "left")
     spans = F.array_sort(F.concat(plain, F.coalesce("__added", F.array().cast(f"array<{SPAN}>"))))
-    return both.select(*(F.col(q(c)) for c in keep), plain.alias("base_spans"), spans.alias("spans"))
+    return both.select(*(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), plain.alias("base_spans"), spans.alias("spans"))
 
 
 def shown(spans: str) -> Column:

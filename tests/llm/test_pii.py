@@ -2,6 +2,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sheaf.llm import pii, queries
 
@@ -84,3 +85,18 @@ def test_query(spark, sf_dir):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
         assert [r[f"n_{k}"] for k in BASE] == [want.count(f"{k}:") for k in BASE]
+
+
+def test_words_around_are_whole(spark, make_docs):
+    long = "w" * 300
+    docs = make_docs([f"{long} {long} a.b{i}@mail.example.org, {long}" for i in range(2)])
+    rows = pii.base_spans(docs.select(F.col("text")), "text").select(F.explode("__base").alias("s")).select("s.before", "s.after").collect()
+    assert {r["before"] for r in rows} == {f"{long} {long}"} and {r["after"] for r in rows} == {","}
+    one = spark.createDataFrame([(x,) for x in ("", "  ", "one", " one ", "a b c ", "mail:")], "gap string").select(pii._last_words(F.col("gap")).alias("w"))
+    assert [r["w"].strip() for r in one.collect()] == ["", "", "one", "one", "b c", "mail:"]
+
+
+def test_names_of_the_caller_stay(make_docs):
+    docs = make_docs(["write to a.b@c.example now"]).selectExpr("*", "'p' as __text", "'q' as __base", "'r' as __keep0", "'s' as __unknown")
+    row = pii.find_personal(docs).first()
+    assert (row["__text"], row["__base"], row["__keep0"], row["__unknown"]) == ("p", "q", "r", "s") and len(row["spans"]) == 1
