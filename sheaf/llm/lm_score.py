@@ -9,7 +9,7 @@ and the rest of the words' own shares, counts increased by one and one more entr
 model never saw, the words' own shares alone. It sums to one over words, the unseen entry and the end.
 
 The models are never in one place. Documents are dealt into batches; each sends its distinct words and bigrams, as sorted
-64-bit hashes with their counts, to the range of hashes that they fall in, and gets the totals back in the same order. A
+hashes with their counts, to the range of hashes that they fall in, and gets the totals back in the same order. A
 key is in a batch once, so frequent words and bigrams are no more work for a range than rare ones.
 """
 
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.common import fresh, id_filter, q, release, settle, without
+from sheaf.llm.common import fresh, q, release, settle, without
 
 MIX = 0.7  # weight of the bigram estimate
 BATCH_CHARS, BATCH_ROWS = 6_000_000, 50_000  # of a batch, unless one text is longer
-RANGE_CHARS = 12_000_000  # of all texts for each range of hashes
+RANGE_CHARS = 4_000_000  # of all texts for each range of hashes
+BITS = 56  # of a hash that are sent
+MASK = np.uint64(2**BITS - 1)
 START = np.uint64(2)  # stands before a document's first word
 
 
@@ -41,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
 def encode(text: str | None) -> np.ndarray:
     """Even hashes of a text's tokens."""
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in words(text)], dtype=np.uint64) & ~np.uint64(1)
+    return np.array([digest(w) for w in words(text)], dtype=np.uint64) & MASK & ~np.uint64(1)
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,7 +51,7 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a * np.uint64(0x9E3779B97F4A7C15) + b
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) | np.uint64(1)
+    return ((h ^ (h >> np.uint64(31))) & MASK) | np.uint64(1)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,10 +65,16 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return cur, prev, sizes
 
 
-def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of the texts' words, bigrams and starts, and how often each occurs."""
+def counts(texts: list[str | None], marked: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the texts' words, bigrams and starts, how often each occurs, and how often in marked texts."""
     cur, prev, sizes = tokens(texts)
-    return np.unique(np.concatenate([cur, np.full(int((sizes > 0).sum()), START), pair_keys(prev, cur)]), return_counts=True)
+    every = np.concatenate([cur, np.full(int((sizes > 0).sum()), START), pair_keys(prev, cur)])
+    keys, place, n = np.unique(every, return_inverse=True, return_counts=True)
+    if marked is None or not any(marked):
+        return keys, n, np.zeros(len(keys), np.int64)
+    text = np.array(marked, dtype=bool)
+    token = np.repeat(text, sizes)
+    return keys, n, np.bincount(place[np.concatenate([token, text[sizes > 0], token])], minlength=len(keys))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -80,20 +88,19 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of the equal ranges of hashes begins among sorted keys, and the end."""
-    borders = np.array([i * 2**64 // ranges for i in range(1, ranges)], dtype=np.uint64)
+    borders = np.array([i * 2**BITS // ranges for i in range(1, ranges)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]]).astype(np.int64)
 
 
 PART = "part int, batch long, keys binary, base binary, target binary"
 
 
-def _parts(batch: int, keys: np.ndarray, n: np.ndarray, ranges: int, role: str) -> pa.RecordBatch:
-    """A row for each range: differences of the sorted keys there, and their counts on one side or on none."""
+def _parts(batch: int, keys: np.ndarray, base: np.ndarray, target: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for each range: differences of the sorted keys there, and their counts."""
     cut = _cut(keys, ranges)
-    rows = [(i, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(n[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-    side = lambda r: pa.array([x[2] if role == r else None for x in rows], pa.binary())
-    columns = [pa.array([x[0] for x in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary()), side("base"), side("target")]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "batch", "keys", "base", "target"])
+    rows = [(i, *map(_planes, (np.diff(keys[a:b], prepend=np.uint64(0)), base[a:b], target[a:b]))) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    column = lambda k: pa.array([x[k] for x in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), column(1), column(2), column(3)], names=["part", "batch", "keys", "base", "target"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[pa.Table]:
@@ -129,12 +136,13 @@ def _dealt(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, "batch long, chars long, docs binary")
 
 
-def _sent(texts: DataFrame, ranges: int, role: str) -> DataFrame:
-    """Counts of a column text, whose totals nobody waits for."""
+def _sent(texts: DataFrame, ranges: int, target: bool) -> DataFrame:
+    """Counts of a column text for one of the models, whose totals nobody waits for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, "text"):
-            yield _parts(-1, *counts(t.column("text").to_pylist()), ranges, role)
+            keys, n, none = counts(t.column("text").to_pylist())
+            yield _parts(-1, keys, none if target else n, n if target else none, ranges)
 
     return texts.select("text").mapInArrow(run, PART)
 
@@ -146,7 +154,7 @@ def _totals(t: pa.Table) -> pa.Table:
     ends = np.cumsum([len(k) for k in keys])
     total = []
     for side in ("base", "target"):
-        given = [np.zeros(len(k), np.uint64) if x is None else _numbers(x) for x, k in zip(t[side].to_pylist(), keys, strict=True)]
+        given = [_numbers(x) for x in t[side].to_pylist()]
         total.append(np.bincount(place, weights=np.concatenate(given).astype(float), minlength=len(every)).astype(np.uint64))
     rows = []
     for batch, a, b in zip(t["batch"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
@@ -192,23 +200,26 @@ def _means(loss: np.ndarray, sizes: np.ndarray) -> list[list[float] | None]:
     return out
 
 
-def score(df: DataFrame, target: DataFrame, background: DataFrame | None = None, col: str = "text") -> DataFrame:
+def score(df: DataFrame, mark: str | None = None, target: DataFrame | None = None, background: DataFrame | None = None, col: str = "text") -> DataFrame:
     """df with n_tokens, target_loss, background_loss (means for each token, in nats) and score, their difference.
 
-    target and background have a column text; without background the texts of df are it. All new columns but n_tokens are
-    null for texts that are null or have no word. Equal texts get equal scores. Without target texts the target
-    model gives each word the same share; null texts count nothing. An empty table gives an empty one. Columns
-    of df with one of the new names, in any case, are replaced.
+    The target are the texts of df's rows with a true column mark, and those of target; target and background have
+    a column text. Without background the texts of df are it. All new columns but n_tokens are null for texts that are null
+    or have no word. Equal texts get equal scores. Without target texts the target model gives each word the
+    same share; null texts and null marks count nothing. An empty table gives an empty one. Columns of df with one
+    of the new names, in any case, are replaced.
     """
     keep = without(df, SCORED.fieldNames())
     rest = df.select(*(F.col(q(c)) for c in keep))
-    (text,) = fresh(rest, "text")
-    base = settle(_dealt(df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias(text)), text))
+    text, marked = fresh(rest, "text", "marked")
+    flag = F.coalesce(F.col(q(mark)).cast("boolean"), F.lit(False)) if mark else F.lit(False)
+    base = settle(_dealt(df.select(*(F.col(q(c)) for c in keep), F.col(q(col)).alias(text), flag.alias(marked)), text))
+    release(collect=df.sparkSession)
     chars = base.agg(F.sum("chars")).first()[0] or 0
     if background is not None:
         chars += background.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(chars / RANGE_CHARS))
-    role = "base" if background is None else "none"
+    alone = background is None
 
     def read(stream: bytes) -> pa.Table:
         return pa.ipc.open_stream(stream).read_all()
@@ -216,11 +227,14 @@ def score(df: DataFrame, target: DataFrame, background: DataFrame | None = None,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, stream in zip(batch["batch"], batch["docs"], strict=True):
-                yield _parts(number.as_py(), *counts(read(stream.as_py()).column(text).to_pylist()), ranges, role)
-
-    parts = base.select("batch", "docs").mapInArrow(send, PART).union(_sent(target, ranges, "target"))
-    if background is not None:
-        parts = parts.union(_sent(background, ranges, "base"))
+                docs = read(stream.as_py())
+                keys, n, t = counts(docs.column(text).to_pylist(), docs.column(marked).to_pylist())
+                yield _parts(number.as_py(), keys, n if alone else 0 * n, t, ranges)
+
+    parts = base.select("batch", "docs").mapInArrow(send, PART)
+    for more, is_target in ((target, True), (background, False)):
+        if more is not None:
+            parts = parts.union(_sent(more, ranges, is_target))
     found = settle(parts.groupBy("part").applyInArrow(_totals, TOTALS))
     release(collect=df.sparkSession)
     size, *all_ = (x or 0 for x in found.agg(F.sum("words"), F.sum("base_tokens"), F.sum("target_tokens")).first())
@@ -243,12 +257,9 @@ def score(df: DataFrame, target: DataFrame, background: DataFrame | None = None,
     return base.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(finish, fields)
 
 
-def target_texts(docs: DataFrame, labels: DataFrame, col: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """The texts of documents with a label of 1 for their id. Rows without an id or label aren't target.
-
-    A filter of bounded size drops most other documents before the join, which only target texts have to be shuffled for.
-    """
-    good = settle(labels.where((F.col(q(label)) == 1) & F.col(q(doc_id)).isNotNull()).select(F.col(q(doc_id)).alias("__id")).distinct())
-    texts = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("text"))
-    likely = texts.where(id_filter(good, "__id")(F.col("__id")))
-    return likely.join(good.hint("merge"), "__id", "left_semi").select("text")
+def mark_target(docs: DataFrame, labels: DataFrame, name: str = "target", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """docs with a boolean column of that name: whether the document has a label of 1 for its id. A null id has none."""
+    (key,) = fresh(docs, "key")
+    good = labels.where((F.col(q(label)) == 1) & F.col(q(doc_id)).isNotNull()).select(F.col(q(doc_id)).alias(key)).distinct()
+    rest = [F.col(q(c)) for c in without(docs, [name])]
+    return docs.join(good, F.col(q(doc_id)) == F.col(key), "left").select(*rest, F.col(key).isNotNull().alias(name))

@@ -34,7 +34,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm_score.score(docs, lm_score.target_texts(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return lm_score.score(lm_score.mark_target(docs, table(spark, sf_dir, "labels")), "target").drop("text", "target")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,17 +54,18 @@ def test_same_as_counting(spark, make_docs, monkeypatch):
     monkeypatch.setattr(lm_score, "RANGE_CHARS", 150)
     labels = spark.createDataFrame([(i, int(i % 2 == 1), 0) for i in range(40)] + [(None, 1, 0), (1, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     docs = make_docs([(i, t, "s") for i, t in enumerate(TEXTS)])
-    target = lm_score.target_texts(docs, labels)
+    marked = lm_score.mark_target(docs, labels)
     good = [t for i, t in enumerate(TEXTS) if i % 2 == 1 and i < 40]
-    assert sorted(r["text"] for r in target.collect()) == sorted(good)
-    got = lm_score.score(docs, target).collect()
+    assert sorted(r["text"] for r in marked.where("target").collect()) == sorted(good) and marked.count() == len(TEXTS)
+    got = lm_score.score(marked, "target").collect()
     same(got, plain(TEXTS, good, TEXTS))
-    assert got[0].asDict().keys() == {*docs.columns, "n_tokens", "target_loss", "background_loss", "score"}
+    assert got[0].asDict().keys() == {*docs.columns, "target", "n_tokens", "target_loss", "background_loss", "score"}
+    same(lm_score.score(docs, target=marked.where("target")).collect(), plain(TEXTS, good, TEXTS))
 
 
 def test_other_background(make_docs):
     more = ["the cat unseen sat", "the mat new words"]
-    got = lm_score.score(make_docs(more), make_docs(TEXTS[:5]), make_docs(TEXTS)).collect()
+    got = lm_score.score(make_docs(more), target=make_docs(TEXTS[:5]), background=make_docs(TEXTS)).collect()
     same(got, plain(TEXTS, TEXTS[:5], more))
 
 
@@ -79,18 +80,18 @@ def test_sums_to_one():
 def test_numbers_survive_planes():
     n = np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64)
     assert (lm_score._numbers(lm_score._planes(n)) == n).all() and len(lm_score._numbers(lm_score._planes(n[:0]))) == 0
-    keys = np.sort(n)
+    keys = np.sort(n & lm_score.MASK)
     cut = lm_score._cut(keys, 7)
-    assert cut[0] == 0 and cut[-1] == 1000 and all((int(k) * 7) >> 64 == i for i in range(7) for k in keys[cut[i] : cut[i + 1]])
+    assert cut[0] == 0 and cut[-1] == 1000 and all((int(k) * 7) >> lm_score.BITS == i for i in range(7) for k in keys[cut[i] : cut[i + 1]])
 
 
 def test_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = lm_score.score(odd_docs, lm_score.target_texts(odd_docs, labels)).collect()
+    rows = lm_score.score(lm_score.mark_target(odd_docs, labels, "LABEL"), "LABEL").collect()
     assert len(rows) == 8 and all((r["score"] is None) == (r["n_tokens"] == 0) for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] == 4}) == 1
     empty = odd_docs.limit(0)
-    assert lm_score.score(empty, lm_score.target_texts(empty, labels)).count() == 0
+    assert lm_score.score(lm_score.mark_target(empty, labels), "target").count() == 0
 
 
 def test_query_same_as_counting(spark, sf_dir):
