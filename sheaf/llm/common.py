@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -74,7 +75,10 @@ def release(*tables: DataFrame, collect: bool | SparkSession = False) -> None:
             _remove(_settled.pop(path), path)
     if collect:
         gc.collect()
-        (tables[0].sparkSession if collect is True else collect)._jvm.System.gc()
+        spark = tables[0].sparkSession if collect is True else collect
+        for _ in range(2):  # what the first finds goes only after its references have been cleared
+            spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 @atexit.register

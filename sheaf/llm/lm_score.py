@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from sheaf.llm.common import fresh, q, release, settle, without
 
 MIX = 0.7  # weight of the bigram estimate
-BATCH_CHARS, BATCH_ROWS = 6_000_000, 50_000  # of a batch, unless one text is longer
+BATCH_CHARS, BATCH_ROWS = 4_000_000, 50_000  # of a batch, unless one text is longer
 RANGE_CHARS = 4_000_000  # of all texts for each range of hashes
 BITS = 56  # of a hash that are sent
 MASK = np.uint64(2**BITS - 1)
