@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +79,12 @@ def counts(texts: list[str | None], marked: list[bool] | None = None) -> tuple[n
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit numbers with all first bytes first, then all second ones: what is small compresses well."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers, compressed with all first bytes first, then all second ones."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
 def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -262,4 +263,4 @@ def mark_target(docs: DataFrame, labels: DataFrame, name: str = "target", doc_id
     (key,) = fresh(docs, "key")
     good = labels.where((F.col(q(label)) == 1) & F.col(q(doc_id)).isNotNull()).select(F.col(q(doc_id)).alias(key)).distinct()
     rest = [F.col(q(c)) for c in without(docs, [name])]
-    return docs.join(good, F.col(q(doc_id)) == F.col(key), "left").select(*rest, F.col(key).isNotNull().alias(name))
+    return docs.join(good.hint("merge"), F.col(q(doc_id)) == F.col(key), "left").select(*rest, F.col(key).isNotNull().alias(name))
