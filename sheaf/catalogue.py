@@ -304,7 +304,8 @@ _on("number_text", "part", lambda df: df.select("p_partkey", coerce.format_numbe
 _on("round_half_up", "lineitem", lambda df: df.select("l_orderkey", "l_linenumber", coerce.round_half_up(F.col("l_quantity") / 4 - 5).cast("double").alias("r")), "select l_orderkey, l_linenumber, floor(l_quantity / 4 - 5 + 0.5)::double as r from lineitem")
 _on("xml_encode", "part", lambda df: df.select("p_partkey", text.xml_encode(F.concat(F.lit("<&"), F.col("p_name"))).alias("x")), "select p_partkey, '&lt;&amp;' || p_name as x from part")
 _on("glob_match", "part", lambda df: df.where(text.glob_match(F.col("p_brand"), "Brand#[12]{1,3}")).select("p_partkey"), "select p_partkey from part where regexp_matches(p_brand, '^Brand#[12](1|3)$')")
-_on("crc32", "documents", lambda df: df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"), F.base64(F.col("text").cast("binary")).alias("b")), None)
+_on("base64", "documents", lambda df: df.select("doc_id", F.regexp_replace(F.base64(F.col("text").cast("binary")), "\r\n", "").alias("b")), "select doc_id, base64(encode(text)) as b from documents")
+_on("crc32", "documents", lambda df: df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c")), None)
 _on("checksums", "documents", lambda df: df.select("doc_id", text.adler32(F.col("text").cast("binary")).alias("adler"), F.round(text.entropy(F.col("text").cast("binary")), 4).alias("entropy")), None)
 _on("cell_format", "lineitem", lambda df: df.select("l_orderkey", "l_linenumber", cellformat.format_column(F.col("l_extendedprice"), "#,##0.00;(#,##0.00)").alias("v")), "select l_orderkey, l_linenumber, format('{:,.2f}', round(l_extendedprice, 2)) as v from lineitem")
 
@@ -458,6 +459,8 @@ def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared}/files-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     made = tempfile.mkdtemp(prefix="sheaf-files-")
     import atexit
 
@@ -525,6 +528,86 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark, 1000, ["index", "int", "name", "email", "date", "uuid"])
 
 
+@_add("generated_profile", "select 1000 as n, 1000 as indexes, 1000 as uuids, 1000 as mails")
+def generated_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = generated(spark, sf_dir)
+    four = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("index_0")).alias("indexes"), F.count_distinct(F.when(F.col("uuid_5").rlike(four), F.col("uuid_5"))).alias("uuids"), F.count_if(F.col("email_3").contains("@")).alias("mails"))
+
+
+# Literals of comparisons, and NaN, as a loosely typed host compares them.
+_filtered("filter_lt_nan", "part", "p_partkey", Filter([Condition("p_size", "lt", "NaN")]), "false")
+_filtered("filter_gt_nan", "part", "p_partkey", Filter([Condition("p_size", "gt", "NaN")]), "false")
+_filtered("filter_lt_hex", "part", "p_partkey", Filter([Condition("p_size", "lt", " 0x10 ")]), "p_size < 16")
+_filtered("filter_gt_underscore", "part", "p_partkey", Filter([Condition("p_size", "gt", "1_0")]), "false")
+_filtered("filter_lte_blank", "customer", "c_custkey", Filter([Condition("c_acctbal", "lte", "  ")]), "c_acctbal <= 0")
+_on(
+    "filter_nan_column", "part", lambda df: predicates.where(df.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("p_size")).alias("v")), Filter([Condition("v", "gt", 10)])).select("p_partkey"),
+    "select p_partkey from part where p_size % 2 = 1 and p_size > 10",
+)
+
+
+# Whole sorts, by the place that each row gets.
+_on(
+    "sort_all_date", "orders", lambda df: _placed(df.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")), [Sort("d", "desc", "date"), Sort("o_orderkey", "asc", "number")], "o_orderkey"),
+    "select o_orderkey, row_number() over (order by o_orderdate::date desc, o_orderkey) - 1 as place from orders",
+)
+_on(
+    "sort_all_auto", "part", lambda df: _placed(df.select("p_partkey", F.col("p_size").cast("string").alias("s")), [Sort("s", "desc", "auto"), Sort("p_partkey", "asc", "number")], "p_partkey"),
+    "select p_partkey, row_number() over (order by p_size desc, p_partkey) - 1 as place from part",
+)
+
+
+def _placed(df: DataFrame, sorts: list[Sort], key: str) -> DataFrame:
+    """The place of each row of a whole sort."""
+    rows = ordering.sort(df, sorts).rdd.zipWithIndex().map(lambda x: (x[0][key], x[1]))
+    return df.sparkSession.createDataFrame(rows, f"{key} long, place long")
+
+
+# Coercions, dates, texts and addresses over fixed samples or whole columns.
+_on("parse_boolean", "part", lambda df: df.select("p_partkey", coerce.parse_boolean(F.element_at(F.array(*map(F.lit, ["TRUE", "t", "1", "yes", "0"])), F.col("p_size") % 5 + 1)).alias("b")), "select p_partkey, p_size % 5 < 3 as b from part")
+_on(
+    "parse_iso", "orders", lambda df: df.select("o_orderkey", dates.parse_iso(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("timestamp_ntz").alias("t")),
+    "select o_orderkey, date_trunc('second', o_orderdate) as t from orders",
+)
+_on("xml_decode", "part", lambda df: df.select("p_partkey", text.xml_decode(text.xml_encode(F.concat(F.lit("<&\"'>"), F.col("p_name")))).alias("x")), "select p_partkey, '<&\"''>' || p_name as x from part")
+_on("letters_round_trip", "events", lambda df: df.select("event_id", address.decode_cell(address.encode_cell(F.lit(7), F.col("event_id") % 16384 + 1)).alias("d")).select("event_id", "d.row", "d.col"), "select event_id, 7 as row, (event_id % 16384 + 1)::int as col from events")
+_sheet = lambda df: df.select((F.col("r_regionkey") + 1).alias(ordering.ROW), F.col("r_regionkey").cast("string").alias("c1"), F.when(F.col("r_regionkey") != 2, F.col("r_name")).alias("c2"))
+_on("sheet_letters", "region", lambda df: reshape.records(_sheet(df), "A").drop(ordering.ROW), "select r_regionkey::varchar as A, case when r_regionkey <> 2 then r_name end as B from region")
+_on("sheet_own_keys", "region", lambda df: reshape.records(_sheet(df), ["id", "name"], default="none").drop(ordering.ROW), "select r_regionkey::varchar as id, case when r_regionkey <> 2 then r_name else 'none' end as name from region")
+_on("sheet_arrays", "region", lambda df: reshape.records(_sheet(df), 1).select(F.array_join("values", "|", "-").alias("v")), "select r_regionkey::varchar || '|' || case when r_regionkey <> 2 then r_name else '-' end as v from region")
+_on("project_headers", "nation", lambda df: reshape.project(df, ["n_name", ("n_regionkey", "Region")]), 'select n_name, n_regionkey as "Region" from nation')
+
+
+# Scanner options: a file that the query writes, and the rows that it must give.
+def _scanned(name: str, content: str, rows: list[tuple], names: str, **options: object) -> None:
+    """A query that reads content with options; rows are what SQL says of it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from sheaf.sources.csv import read_csv
+
+        at = _folder(spark)
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.option("lineSep", "\n").text(at)
+        return read_csv(spark, f"{at}/part-*", **options).rows
+
+    shown = lambda v: "null" if v is None else "'" + str(v).replace("'", "''") + "'"
+    _QUERIES[name] = (run, "select * from (values " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") t({names})")
+
+
+_scanned("csv_pad_truncate", "a,b\n1\n2,3,4\n5,6", [("1", ""), ("2", "3"), ("5", "6")], "a, b", less="pad", more="truncate")
+_scanned("csv_rejects", "a,b\n1\n2,3,4\n5,6", [("5", "6")], "a, b")
+_scanned("csv_comments", "a,b\n#1,2\n3,4\n\n5,#6", [("3", "4"), ("5", "#6")], "a, b", comment="#", skip_empty_lines=True)
+_scanned("csv_window", "x\na,b\n1,2\n3,4\n5,6\n7,8", [("3", "4"), ("5", "6")], "a, b", skip_lines=1, skip_rows=1, max_rows=2)
+_scanned("csv_header_repeat", "a,b\n1,2\na,b\n3,4", [("1", "2"), ("a", "b"), ("3", "4")], "a, b", skip_empty_lines=True)
+_scanned("csv_trim", "a , b\n 1 , 2 ", [("1", "2")], "a, b", trim=True)
+_scanned("csv_quotes", "a;b\n'x;y';'it''s'\n'1\n2';z", [("x;y", "it's"), ("1\n2", "z")], "a, b", delimiter=";", quote="'")
+_scanned("csv_no_quotes", 'a,b\n"x",y', [('"x"', "y")], "a, b", quote=None)
+_scanned("csv_multi_delimiter", "a||b\n1||2|3", [("1", "2|3")], "a, b", delimiter="||")
+_scanned("csv_own_headers", "1,2\n3,4", [("1", "2"), ("3", "4")], "x, y", headers=["x", "y"])
+_scanned("csv_header_dedupe", "k,v,v\n1,2,3", [("1", "2", "3")], "k, v, v_1")
+_scanned("csv_empty_values", "a,b\n,\n1,2", [("1", "2")], "a, b", skip_records_with_empty_values=True)
+
+
 def queries() -> dict[str, Run]:
     return {name: run for name, (run, _) in _QUERIES.items()}
 

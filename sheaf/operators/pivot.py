@@ -150,9 +150,9 @@ def field_profile(df: DataFrame, column: str) -> DataFrame:
 
 
 def encode_records(df: DataFrame, column: str) -> DataFrame:
-    """df with <column>_index: the place of each value among the column's shared items, from 0."""
-    from pyspark.sql import Window
-
+    """df with <column>_index: the place of each value among the column's shared items, from 0. Items are numbered range by
+    range, from the counts of the ranges before."""
     items = shared_items(df, column)
-    numbered = items.select(F.col(f"`{column}`").alias("__item"), (F.row_number().over(Window.orderBy(F.col(f"`{column}`").asc_nulls_last())) - 1).cast("long").alias(f"{column}_index"))
+    kind = T.StructType([T.StructField("__item", items.schema[column].dataType), T.StructField(f"{column}_index", T.LongType(), False)])
+    numbered = df.sparkSession.createDataFrame(items.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), kind)
     return df.join(numbered, F.col(f"`{column}`").eqNullSafe(F.col("__item")), "left").drop("__item")

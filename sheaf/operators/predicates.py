@@ -25,11 +25,27 @@ def _false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _number(value: object) -> float | None:
-    try:
-        return float(value) if value not in (None, "") else 0.0
-    except (TypeError, ValueError):
+_DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_RADIX = re.compile(r"0(?:[xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)")
+
+
+def literal_number(value: object) -> float | None:
+    """A literal as a loosely typed host reads numbers: null and blank texts are 0, hexadecimal, octal and binary forms
+    count, underscores don't; None if it is no number, NaN included."""
+    if value is None:
+        return 0.0
+    if isinstance(value, (bool, int, float)):
+        return None if value != value else float(value)
+    if not isinstance(value, str):
         return None
+    text = value.strip()
+    if not text:
+        return 0.0
+    if text in ("Infinity", "+Infinity", "-Infinity"):
+        return float(text)
+    if _RADIX.fullmatch(text):
+        return float(int(text, 0))
+    return float(text) if _DECIMAL.fullmatch(text) else None
 
 
 def condition(df: DataFrame, c: Condition, compat: bool = False) -> Column:
@@ -59,12 +75,14 @@ def condition(df: DataFrame, c: Condition, compat: bool = False) -> Column:
         found = found | col.isNull() if None in value else found
         return found if op == "in" else ~_false_if_null(found)
     if op in _COMPARE:
-        bound = _number(value)
+        bound = literal_number(value)
         if bound is None:
             return F.lit(False)
         if isinstance(value, int) and not isinstance(value, bool) and isinstance(kind, T.IntegralType):
             bound = value  # a bare comparison reaches the scan
-        return _COMPARE[op](js_number(col, kind, compat), F.lit(bound))
+        test = _COMPARE[op](js_number(col, kind, compat), F.lit(bound))
+        # Spark takes NaN for the largest number; here it compares with nothing
+        return test & ~F.isnan(col) if isinstance(kind, (T.FloatType, T.DoubleType)) and op in ("gt", "gte") else test
     if op in ("contains", "startsWith", "endsWith", "regex"):
         text = js_string(col, kind, compat)
         text = F.lower(text) if fold and op != "regex" else text

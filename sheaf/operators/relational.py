@@ -33,8 +33,8 @@ def range_lookup(df: DataFrame, ranges: DataFrame, value: str, low: str, high: s
 def fill_merges(cells: DataFrame, merges: Sequence[Range], value: str = "value") -> DataFrame:
     """(row, col, value) cells with each merged cell's master value."""
     spark = cells.sparkSession
-    flat = [(r, c, m.top, m.left) for m in merges for r in range(m.top, m.bottom + 1) for c in range(m.left, m.right + 1)]
-    slaves = spark.createDataFrame(flat, "row int, col int, __top int, __left int")
+    corners = spark.createDataFrame([(m.top, m.left, m.bottom, m.right) for m in merges], "__top int, __left int, bottom int, right int")
+    slaves = corners.withColumn("row", F.explode(F.sequence("__top", "bottom"))).withColumn("col", F.explode(F.sequence("__left", "right"))).drop("bottom", "right")
     masters = cells.select(F.col("row").alias("__top"), F.col("col").alias("__left"), F.col(value).alias("__master"))
     filled = slaves.join(masters, ["__top", "__left"], "left").select("row", "col", "__master")
     both = cells.join(filled, ["row", "col"], "full")
@@ -65,7 +65,9 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int
     """An equi-join whose hot keys are spread over salts tasks; the other side is repeated for each salt."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the repeated side can't be kept whole")
-    a = big.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+    # a hash of the row, not chance: a task that is run again deals its rows as before
+    whole = [F.col(f"`{c}`") for c in big.columns if "map<" not in big.schema[c].dataType.simpleString()]
+    a = big.withColumn("__salt", F.pmod(F.xxhash64(*whole), F.lit(salts)).cast("int"))
     b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, "__salt"], how).drop("__salt")
 

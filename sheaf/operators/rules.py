@@ -78,16 +78,41 @@ def time_period(c: Column, period: str, as_of: Column) -> Column:
     return F.coalesce(tests[period], F.lit(False))
 
 
+FEW = 50_000  # values that one task may sort
+
+
+def nth_value(values: DataFrame, n: int, total: int, few: int = FEW) -> object:
+    """The n-th smallest (from 1) of the total numbers in column v; None if there are fewer."""
+    below = 0  # values that are smaller than those still in question
+    while total > few:
+        share, error = (n - below) / total, 0.01
+        low, high = (values.select(F.percentile_approx("v", F.lit(min(1.0, max(0.0, share + d))), F.lit(1000))).first()[0] for d in (-error, error))
+        if low == high:
+            left, same = values.agg(F.count(F.when(F.col("v") < low, 1)), F.count(F.when(F.col("v") == low, 1))).first()
+            if left < n - below <= left + same:
+                return low
+        left, inside = values.agg(F.count(F.when(F.col("v") < low, 1)), F.count(F.when(F.col("v").between(low, high), 1))).first()
+        if not left < n - below <= left + inside or inside >= total:
+            break  # the quantiles were off: sort what is left
+        values, below, total = values.where(F.col("v").between(low, high)), below + left, inside
+    row = values.orderBy("v").limit(n - below).agg(F.max("v"), F.count("v")).first()
+    return row[0] if row[1] == n - below else None
+
+
 def top_n(df: DataFrame, column: str, n: int, percent: bool = False, bottom: bool = False, out: str = "in_top") -> DataFrame:
     """df with a flag: whether a row's value is among the n largest (or smallest) values, ties included.
 
-    The threshold is found by one distributed top-n, or by an exact percentile; no window over all rows.
+    The threshold is found by one distributed top-n; a share's is found by narrowing down a range of values with
+    approximate quantiles until few values are left to sort.
     """
     col = F.col(f"`{column}`")
     values = df.select(col.alias("v")).where(F.col("v").isNotNull())
     if percent:
-        n = max(1, values.count() * n // 100)
-    edge = values.orderBy(F.col("v").asc() if bottom else F.col("v").desc()).limit(n).agg((F.max if bottom else F.min)("v").alias("__edge"))
+        total = values.count()
+        n = max(1, total * n // 100)
+        edge = df.sparkSession.range(1).select(F.lit(nth_value(values, n if bottom else total - n + 1, total)).cast(df.schema[column].dataType).alias("__edge"))
+    else:
+        edge = values.orderBy(F.col("v").asc() if bottom else F.col("v").desc()).limit(n).agg((F.max if bottom else F.min)("v").alias("__edge"))
     joined = df.join(F.broadcast(edge))  # a single row
     flag = col <= F.col("__edge") if bottom else col >= F.col("__edge")
     return joined.withColumn(out, F.coalesce(flag, F.lit(False))).drop("__edge")

@@ -1,7 +1,7 @@
 """Delimited files as DataFrames.
 
-Options that Spark's own reader covers go to it: files are split and read in parallel. All others are read by the scanner,
-a file in each task at least; a quoted field may hold line ends, so such a file can't be split.
+Options that Spark's own reader covers go to it; without quoted line ends files are split there and read in parallel. All
+others are read by the scanner, a file in each task at least.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from sheaf.functions.dates import cast_date
 from sheaf.operators.reshape import group_columns
 from sheaf.sources.csv_scan import CsvOptions, decode, detect_delimiter, headers_of, scan
 
-HEAD_BYTES = 1 << 20
+HEAD_BYTES = 1 << 20  # of the first file that are read for the delimiter and the headers; more, if no line ends within
 RECORD = T.StructType(
     [
         T.StructField("file", T.StringType()),
@@ -55,10 +55,22 @@ class CsvResult:
 
 
 def _head(spark: SparkSession, path: str, o: CsvOptions) -> str:
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, HEAD_BYTES).alias("c")).first()
+    """The beginning of the first file by path. Files are listed without being read, and one range of one is."""
+    row = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").first()
     if row is None:
         return ""
-    return decode(bytes(row["c"]), dataclasses.replace(o, before_first_chunk=None) if len(row["c"]) == HEAD_BYTES else o)
+    jvm, n = spark._jvm, HEAD_BYTES
+    at = jvm.org.apache.hadoop.fs.Path(row["path"])
+    while True:
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+        try:
+            content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+        finally:
+            stream.close()
+        if n >= row["length"] or b"\n" in content or b"\r" in content:
+            break
+        n *= 8
+    return decode(content, dataclasses.replace(o, before_first_chunk=None) if len(content) < row["length"] else o)
 
 
 def native(o: CsvOptions) -> bool:
@@ -102,20 +114,22 @@ def read_csv(
     key: str | None = None,
     row_transform: Callable[[DataFrame], DataFrame] | None = None,
     validate: Column | None = None,
+    quoted_line_ends: bool = True,
     **options: Any,
 ) -> CsvResult:
     """Rows of delimited files, all text unless typed.
 
     info adds _info (index, line, offset, quoted, raw). dynamic_typing types all columns, those listed, or as a dict says.
     key keeps the last row of each value of a column. row_transform maps the table; validate is a condition, rows that
-    fail it are rejects. Records with a wrong number of columns are rejects unless less or more say otherwise.
+    fail it are rejects. Records with a wrong number of columns are rejects unless less or more say otherwise. Without
+    quoted_line_ends Spark's reader may split files; quoted fields must hold no line end then.
     """
     o = CsvOptions(**options)
     head = _head(spark, path, o)
     o = dataclasses.replace(o, delimiter=o.delimiter or detect_delimiter(head, o.quote, o.comment))
     names, renamed = headers_of(head, o)
     if native(o) and not info and names and None not in names:
-        rows, rejects = _native(spark, path, o, names)
+        rows, rejects = _native(spark, path, o, names, quoted_line_ends)
     else:
         rows, rejects, names = _scanned(spark, path, o, names, info)
     shown = [n for n in rows.columns if n not in (INFO, EXTRA)]
@@ -140,18 +154,23 @@ def read_csv(
     return CsvResult(rows, rejects, [n for n in names if n is not None] if names is not None else None, renamed, o.delimiter)
 
 
-def _native(spark: SparkSession, path: str, o: CsvOptions, names: list[str]) -> tuple[DataFrame, DataFrame]:
+def _native(spark: SparkSession, path: str, o: CsvOptions, names: list[str], quoted_line_ends: bool) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("__bad", T.StringType())])
     df = (
         spark.read.schema(schema)
-        .option("header", True).option("enforceSchema", True).option("sep", o.delimiter).option("quote", o.quote).option("escape", o.quote).option("multiLine", True)
+        .option("header", True).option("enforceSchema", True).option("sep", o.delimiter).option("quote", o.quote).option("escape", o.quote).option("multiLine", quoted_line_ends)
         .option("encoding", o.encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("maxCharsPerColumn", -1).option("columnPruning", False)
         .option("ignoreLeadingWhiteSpace", o.trim or o.ltrim).option("ignoreTrailingWhiteSpace", o.trim or o.rtrim)
         .csv(path)
+        .select("*", F.col("_metadata.file_path").alias("__file"))
     )
     some = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0  # a query may not read the fault column alone
     rows = df.where(some & F.col("__bad").isNull()).select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
-    bad = df.where(some & F.col("__bad").isNotNull()).select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.lit("ColumnMismatch").alias("error"), F.lit("wrong number of columns").alias("message"), F.col("__bad").alias("raw"))
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    cells = F.from_csv("__bad", wide.simpleString()[7:-1].replace(":", " "), {"sep": o.delimiter, "quote": o.quote, "escape": o.quote, "nullValue": "\u0001"})
+    many = cells[f"c{len(names)}"].isNotNull()
+    message = F.when(many, f"more than {len(names)} columns").otherwise(f"fewer than {len(names)} columns")
+    bad = df.where(some & F.col("__bad").isNotNull()).select(F.col("__file").alias("file"), F.lit(None).cast("long").alias("line"), F.when(many, "TooManyFields").otherwise("TooFewFields").alias("error"), message.alias("message"), F.col("__bad").alias("raw"))
     return rows, bad
 
 
@@ -191,13 +210,15 @@ def type_columns(df: DataFrame, columns: Sequence[str], how: bool | Sequence[str
 
 
 def read_fast(spark: SparkSession, path: str, delimiter: str = ",", headers: bool = True) -> DataFrame:
-    """Files without quotes: lines are split in parallel, at any place of a file."""
-    import re
-
-    lines = spark.read.text(path).where(F.col("value") != "")
-    parts = lines.select(F.split("value", re.escape(delimiter), -1).alias("v"))
-    first = lines.select("value").first()
-    names = first["value"].split(delimiter) if first else []
-    if headers:
-        parts = parts.where(F.array_join("v", delimiter) != (first["value"] if first else ""))
-    return parts.select(*(F.coalesce(F.get("v", i), F.lit("")).alias(n if headers else f"_c{i}") for i, n in enumerate(names)))
+    """Files without quotes, split at any line end. The first line of each file is its header, if it has headers; no other."""
+    head = _head(spark, path, CsvOptions(delimiter=delimiter)).splitlines()
+    first = next((x for x in head if x), "")
+    names = first.split(delimiter) if first else []
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    df = (
+        spark.read.schema(schema).option("header", headers).option("enforceSchema", True).option("sep", delimiter).option("quote", "").option("escape", "")
+        .option("maxCharsPerColumn", -1).option("maxColumns", max(20480, len(names) + 1)).csv(path)
+    )
+    return df.select(*(F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n if headers else f"_c{i}") for i, n in enumerate(names)))

@@ -46,16 +46,13 @@ def test_date_formats(fmt, is_date):
     ("fmt", "value", "want"),
     [
         ("General", 1234.5, "1234.5"), ("General", 1e20, "1E+20"), ("General", 0.1 + 0.2, "0.3"), ("0.00", 1234.567, "1234.57"), ("#,##0", 1234567, "1,234,567"), ("#,##0.00", -1234.5, "-1,234.50"), ("0%", 0.256, "26%"),
-        ("0.00E+00", 12345, "1.23E+04"), ("##0.0E+0", 12345, "12.3E+3"), ("# ?/?", 1.5, "1 1/2"), ("# ??/??", 0.333, " 1/3 " if False else None), ("m/d/yy", 43831, "1/1/20"), ("h:mm AM/PM", 0.75, "6:00 PM"),
+        ("0.00E+00", 12345, "1.23E+04"), ("##0.0E+0", 12345, "12.3E+3"), ("# ?/?", 1.5, "1 1/2"), ("m/d/yy", 43831, "1/1/20"), ("h:mm AM/PM", 0.75, "6:00 PM"),
         ("[h]:mm:ss", 1.5, "36:00:00"), ("#,##0 ;(#,##0)", -5, "(5)"), ("yyyy-mm-dd hh:mm:ss", 43831.5, "2020-01-01 12:00:00"), ('[>100]"big";0', 150, "big"), ("@", "x", "x"), ("0.0,,", 12345678, "12.3"),
-        ("mmss.0", 0.0007, "0100.4"), ("000-00", 12345, "123-45"), ("d-mmm-yy", 43831, "1-Jan-20"), ("0.00", None, ""), ("0", True, "TRUE"), ("0;-0;zero", 0, "zero"), ("0.0#", 1.5, "1.5"), ("0.5 \\k", 2, None),
+        ("mmss.0", 0.0007, "0100.4"), ("000-00", 12345, "123-45"), ("d-mmm-yy", 43831, "1-Jan-20"), ("0.00", None, ""), ("0", True, "TRUE"), ("0;-0;zero", 0, "zero"), ("0.0#", 1.5, "1.5"), ("0.5 \\k", 2, "2.5 k"), ("# ??/??", 0.333, "  1/3 "),
     ],
 )
 def test_cell_formats(fmt, value, want):
-    if want is not None:
-        assert format_value(fmt, value) == want
-    else:
-        assert isinstance(format_value(fmt, value), str)
+    assert format_value(fmt, value) == want
 
 
 def test_built_in():
@@ -96,5 +93,5 @@ def test_base64_of_whole_texts(spark, sf_dir):
     from sheaf import catalogue
 
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
-    for r in catalogue.queries()["crc32"](spark, sf_dir).collect():
+    for r in catalogue.queries()["base64"](spark, sf_dir).collect():
         assert base64.b64decode(r["b"]).decode() == texts[r["doc_id"]]
