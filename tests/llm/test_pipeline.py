@@ -26,3 +26,34 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(odd_docs):
+    """Nulls, empty and long texts, ties, repeated rows, and columns named like those that stages work with."""
+    return odd_docs.selectExpr("*", "'k' as __text", "'k' as __words", "'k' as body", "'k' as words", "'k' as c1", "'k' as __keep0", "'k' as size", "'k' as key")
+
+
+def _rows(df):
+    return sorted((str(r["doc_id"]), str(r["text"])[:50]) for r in df.collect())
+
+
+def test_odd_rows_in_each_stage(spark, sf_dir, odd):
+    whole = _rows(odd)
+    stages = dict(pipeline.STAGES)
+    kept = stages["toxicity"](spark, odd, sf_dir)
+    assert kept.columns == odd.columns and _rows(kept) == whole
+    one = stages["minhash_dedup"](spark, odd, sf_dir)
+    assert one.columns == odd.columns and _rows(one) == sorted(set(whole))
+    clean = stages["pii"](spark, odd, sf_dir)
+    assert clean.columns == odd.columns and clean.count() == len(whole)
+    long = clean.where("doc_id = 3").first()
+    assert long["text"].endswith("word [EMAIL]") and long["n_chars"] == len(long["text"]) and clean.where("doc_id = 1").first()["text"] is None
+    mixed = stages["mixing"](spark, odd, sf_dir)
+    assert mixed.columns == odd.columns and set(_rows(mixed)) <= set(whole) and _rows(mixed) == _rows(stages["mixing"](spark, odd, sf_dir))
+    assert max(_rows(mixed).count(r) / whole.count(r) for r in set(_rows(mixed))) <= 3
+    last = stages["pieces"](spark, odd, sf_dir)
+    assert last.count() == len(whole) and {r["n_tokens"] for r in last.where("doc_id in (1, 2)").collect()} == {0}
+    assert all((r["n_tokens"] > 0) == (r["doc_id"] not in (1, 2, 5)) or r["doc_id"] == 5 for r in last.collect())
+    tied = [r["ids"] for r in last.where("doc_id = 4").collect()]
+    assert len(tied) == 2 and tied[0] == tied[1]
