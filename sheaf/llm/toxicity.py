@@ -252,7 +252,7 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None) -> Model:
     return Model(fit_trees(x, y), knots, means, float(y.mean()))
 
 
-FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType(), False), False)])
+FEATURES = T.StructType([T.StructField("fold", T.IntegerType(), False), T.StructField("features", T.ArrayType(T.DoubleType(), False), False)])
 WORDS = T.StructType([T.StructField("fold", T.IntegerType(), False), T.StructField("words", T.ArrayType(T.StringType(), False), False)])
 SCORE = T.StructType([T.StructField("score", T.DoubleType(), False)])
 
@@ -263,12 +263,17 @@ def fold_of(text: str | None) -> int:
 
 
 def add_features(df: DataFrame, col: str = "text", lexicons: list[dict[str, float]] | None = None) -> DataFrame:
-    """df with features, the array of NAMES for each text; lexicons has the learnt words for texts of each fold."""
+    """df with fold and features, the array of NAMES for each text; lexicons has the learnt words for texts of each fold."""
     held = df.sparkSession.sparkContext.broadcast(lexicons)
 
     def make():
         by_fold = held.value
-        return lambda texts: ([features(t, by_fold[fold_of(t)] if by_fold else None) for t in texts],)
+
+        def run(texts):
+            folds = [fold_of(t) for t in texts]
+            return folds, [features(t, by_fold[k] if by_fold else None) for t, k in zip(texts, folds, strict=True)]
+
+        return run
 
     return map_column(df, col, FEATURES, make)
 
@@ -330,8 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, col: str = "
     texts = docs.select(F.col(q(doc_id)).alias("__id"), F.col(q(col)).alias("__text")).join(F.broadcast(chosen), "__id")
     texts = settle(texts.groupBy("__text").agg(F.max("__y").alias("__y"), F.min(F.xxhash64("__id")).alias("__h")))
     lexicon, others = learn_words(texts)
-    with_fold = map_column(texts, "__text", WORDS, lambda: lambda t: ([fold_of(x) for x in t], [[] for _ in t])).drop("words")
-    rows = add_features(with_fold, "__text", others).select("__y", "fold", "__h", F.xxhash64("__text").alias("__t"), "features")
+    rows = add_features(texts, "__text", others).select("__y", "fold", "__h", F.xxhash64("__text").alias("__t"), "features")
     rows = rows.orderBy("__h", "__t").limit(sample).collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(NAMES))
     model = fit(x, np.array([r["__y"] for r in rows]), np.array([r["fold"] for r in rows]))
