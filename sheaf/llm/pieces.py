@@ -24,8 +24,8 @@ SPACE = "▁".encode()  # stands for a space within pieces
 FIELDS = T.StructType(
     [
         T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
-        T.StructField("starts", T.ArrayType(T.IntegerType(), False), False),
-        T.StructField("ends", T.ArrayType(T.IntegerType(), False), False),
+        T.StructField("starts", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("ends", T.ArrayType(T.IntegerType(), False)),
         T.StructField("decoded", T.StringType(), False),
     ]
 )
@@ -185,8 +185,9 @@ class Codec:
             put(mark, ends[-1], ends[-1])
         return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """ids, byte offsets of each piece in the source text (end exclusive), and the text decoded from the ids."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, str]:
+        """ids, byte offsets of each piece in the source text (end exclusive), and the text decoded from the ids. The offsets
+        are None if the pieces don't cover the normalised text."""
         data = text.encode()
         ids = self.sp.encode(text, add_bos=False, add_eos=False, enable_sampling=False)
         starts, ends = self.normalise(data)
@@ -197,7 +198,7 @@ class Codec:
             lengths = np.array([len(s.encode()) if i == self.unknown else n for i, n, s in zip(ids, lengths, shown, strict=True)], dtype=np.int64)
         last = np.cumsum(lengths)
         if (int(last[-1]) if len(last) else 0) != len(starts):
-            raise ValueError("pieces do not cover the normalised text")
+            return tokens, None, None, self.sp.decode(ids)
         if not len(last):
             none = np.zeros(0, dtype=np.int64)
             return tokens, none, none, self.sp.decode(ids)
@@ -209,18 +210,20 @@ def codec(model_path: str) -> Codec:
     return Codec(model_path)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    values = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    none = np.array([a is None for a in arrays], dtype=bool)
+    held = [np.zeros(0, np.int64) if a is None else a for a in arrays]
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in held])]).astype(np.int32)
+    values = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(none) if none.any() else None)
 
 
 def encode_offsets(df: DataFrame, model_path: str, col: str = "text") -> DataFrame:
     """df with ids, starts, ends (array<int>; byte offsets in the UTF-8 source) and decoded (string).
 
     Null and empty texts give empty arrays and an empty decoded text. A text of any length is encoded whole; rows
-    are independent, so repeated rows give equal results and an empty table an empty one. Columns of df with one of
-    the new names, in any case, are replaced.
+    are independent, so repeated rows give equal results and an empty table an empty one. starts and ends are null where a
+    model's pieces don't cover the normalised text. Columns of df with one of the new names, in any case, are replaced.
     """
 
     def make():

@@ -1,10 +1,12 @@
+import hashlib
 import struct
 
 import numpy as np
 import pytest
 
 from sheaf.llm import pieces
-from sheaf.llm.queries import tokenizer_path
+from sheaf.llm.common import table
+from sheaf.llm.queries import op8_pieces, tokenizer_path
 
 TEXTS = ["", " ", "Hello  world", "a▁b \t\n", "é ﬁ ㎏ 😀", "x" * 3000, "  lead and trail  ", "日本語 text\x00mixed"]
 
@@ -37,6 +39,26 @@ def test_odd_rows(odd_docs):
     assert pieces.encode_offsets(odd_docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_offsets_are_null_where_pieces_do_not_cover_the_text(monkeypatch):
+    one = pieces.Codec(tokenizer_path())
+    whole = one.encode("two words")
+    monkeypatch.setattr(one, "normalise", lambda data: (np.zeros(1, np.int64), np.ones(1, np.int64)))
+    ids, starts, ends, decoded = one.encode("two words")
+    assert ids.tolist() == whole[0].tolist() and starts is None and ends is None and decoded == "two words"
+    assert pieces._lists([np.array([1, 2]), None, np.array([], dtype=np.int64), np.array([3])]).to_pylist() == [[1, 2], None, [], [3]]
+    assert pieces._lists([]).to_pylist() == []
+
+
+def test_query_against_the_library(spark, sf_dir, sp):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        ids = sp.encode(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+    got = op8_pieces(spark, sf_dir).collect()
+    assert len(got) == len(want) and {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
 def test_decode(spark, sp):
     df = spark.createDataFrame([(1, sp.encode("a b c")), (2, []), (3, None)], "k long, ids array<int>")
     assert {r["k"]: r["decoded"] for r in pieces.decode_ids(df, tokenizer_path()).collect()} == {1: "a b c", 2: "", 3: ""}
